@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, language_id, simhash_golay
 
 MODULES = {
+    "op3_simhash_golay": simhash_golay,
+    "op6_language_id": language_id,
     "op10_exact_dedup": exact_dedup,
 }
 
