@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts become word sequences (ASCII letters and digits and all non-ASCII characters; A-Z as a-z). Fixed masks
+Texts become word sequences (ASCII letters and digits and all non-ASCII characters, in lower case). Fixed masks
 select seven of the words in a span and ignore the others, so a replaced word spoils only the seeds that select
 it. Seeds of documents and benchmark items are joined on their hashes; around each joined hit the two sequences
 are laid over each other without gaps, and the overlap is extended while replacements stay rare.
@@ -42,6 +42,7 @@ _SEED_STEP = 0x9E3779B97F4A7C15
 def words(text: bytes) -> np.ndarray:
     """XXH64 of each word."""
     f = xxhash.xxh64_intdigest
+    text = text if text.isascii() else text.decode("utf-8", "replace").lower().encode()
     return np.array([f(w) for w in text.lower().translate(_SPACES).split()], np.uint64)
 
 

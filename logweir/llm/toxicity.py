@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded, hash-chosen sample of labelled documents, near copies among them counted once. Terms that
-mark toxic examples (chi-squared against clean ones) are the features; their inverse document frequencies come
-from all documents. Every document is compared with all examples by the exact cosine of TF-IDF vectors over an
+mark toxic examples (chi-squared against clean ones) are the features, words or beginnings of words (many languages
+form words by endings); their inverse document frequencies come from all documents. Every document is compared with all examples by the exact cosine of TF-IDF vectors over an
 inverted index with block maxima: blocks of examples are visited in order of their upper bounds until no block
 left can enter the K nearest. Neighbours vote with the square of their similarity; a logistic curve fitted to
 leave-one-out votes of the examples turns votes into calibrated scores. Nearest examples are given as evidence.
@@ -35,10 +35,32 @@ K, BLOCK, PRIOR = 16, 64, 0.25
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 
 
-def terms(text: bytes) -> list[bytes]:
+#: Lengths in bytes of the beginnings that are terms too, ended by a star.
+BEGINNINGS = range(4, 9)
+
+
+def words(text: bytes) -> list[bytes]:
+    text = text if text.isascii() else text.decode("utf-8", "replace").lower().encode()
     return text.lower().translate(_SPACES).split()
 
 
+def forms(word: bytes) -> list[bytes]:
+    return [word, *(word[:n] + b"*" for n in BEGINNINGS if n < len(word))]
+
+
+def terms(words: list[bytes], known: dict[bytes, int] | None = None) -> dict:
+    """Occurrences of each term; with `known`, of known terms only, by their numbers."""
+    out: dict = {}
+    for w, n in Counter(words).items():
+        for f in forms(w):
+            if known is not None:
+                f = known.get(f)
+                if f is None:
+                    continue
+            out[f] = out.get(f, 0) + n
+    return out
+
+
 @dataclass
 class Index:
     """Examples' normalised TF-IDF vectors by feature and block of BLOCK examples."""
@@ -162,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Index, list[
         for b in batches:
             rows = []
             for i, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                w = terms(t.as_buffer().to_pybytes()) if t.is_valid else []
-                c = Counter(w)
+                w = words(t.as_buffer().to_pybytes()) if t.is_valid else []
+                c = terms(w)
                 rows.append((i, y, _signature(w), list(c), list(c.values())))
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32())), strict=True)], ["id", "toxic", "sig", "terms", "counts"])
 
@@ -196,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Index, list[
             rows += b.num_rows
             for t in b.column(0):
                 if t.is_valid:
-                    for w in place.keys() & set(terms(t.as_buffer().to_pybytes())):
-                        total[place[w]] += 1
+                    for f in terms(words(t.as_buffer().to_pybytes()), place):
+                        total[f] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(names), dtype=np.int32)), pa.array(np.concatenate([[rows], total]))], ["f", "n"])
 
     df = {r["f"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
@@ -219,11 +241,7 @@ def scorer(model: tuple[Index, list[bytes]] | None):
             if model is None:
                 rows.append((0.0, []))
                 continue
-            c: dict[int, int] = {}
-            if isinstance(t, str):
-                for w in terms(t.encode("utf-8", "replace")):
-                    if (i := place.get(w)) is not None:
-                        c[i] = c.get(i, 0) + 1
+            c = terms(words(t.encode("utf-8", "replace")), place) if isinstance(t, str) else {}
             key = frozenset(c.items())
             if key not in known:
                 s, at, sims = model[0].score(c)
