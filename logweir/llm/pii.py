@@ -112,17 +112,20 @@ def light_table(docs: DataFrame) -> DataFrame:
 def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """term, disclosure (the largest over entities), for terms at `generalise` or above. A written table."""
     near = light.where(F.size("near") > 0).select("h", F.explode("near").alias("n")).select("h", F.col("n.entity").alias("entity"), F.col("n.terms").alias("terms"))
-    pairs = near.select("h", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    met = near.select("h", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     entities = near.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = common.written(pairs.join(entities, "entity"), "pii-pairs")
+    least = met.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("least_t"))
+    n = float(light.select("h").distinct().count())
+    info = F.log(F.lit(n) / F.col("n_e"))
+    share = lambda n_t: F.when(info > 0, F.log(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e").cast("double"))) / info).otherwise(0.0)
+    # a term is in at least as many texts as it stands near entities in, so pairs that miss the threshold even there can't reach it
+    pairs = common.written(pairs.join(entities, "entity").join(least, "term").where(share("least_t") >= generalise), "pii-pairs")
     wanted = common.written(pairs.select("term").distinct(), "pii-candidates")
     if wanted.limit(1).count() == 0:
         return common.written(wanted.withColumn("disclosure", F.lit(0.0)), "pii-terms")
-    n = light.select("h").distinct().count()
     n_t = holding(docs, wanted).groupBy("term").agg(F.count("*").alias("n_t"))
-    info = F.log(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e").cast("double")))
-    scored = pairs.join(n_t, "term").select("term", F.when(info > 0, pmi / info).otherwise(0.0).alias("disclosure"))
+    scored = pairs.join(n_t, "term").select("term", share("n_t").alias("disclosure"))
     return common.written(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise), "pii-terms")
 
 
