@@ -36,6 +36,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Tried before the patterns: where it does not match, the pattern has no valid match either.
 IP_HINT, CARD_HINT = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"[0-9](?:[ -]?[0-9]){15}"
 
+#: Terms are first counted in one text of so many: a lower bound that rules out most of the frequent ones.
+SHARES = (64, 8)
 #: Code points around a span in which terms are near it; letters of a term; different texts that a pair needs.
 AROUND, LETTERS, SUPPORT = 48, 4, 3
 GENERALISE, REMOVE = 0.6, 0.9
@@ -119,8 +121,13 @@ def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, genera
     n = float(light.select("h").distinct().count())
     info = F.log(F.lit(n) / F.col("n_e"))
     share = lambda n_t: F.when(info > 0, F.log(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e").cast("double"))) / info).otherwise(0.0)
-    # a term is in at least as many texts as it stands near entities in, so pairs that miss the threshold even there can't reach it
+    # n(t) is at least the number of texts in which t stands near entities, or in which t is among a share of all
+    # texts; pairs that miss the threshold even with such a bound cannot reach it, and are not counted any further
     pairs = common.written(pairs.join(entities, "entity").join(least, "term").where(share("least_t") >= generalise), "pii-pairs")
+    for part in SHARES:
+        seen = holding(docs, common.written(pairs.select("term").distinct(), "pii-candidates"), part).groupBy("term").agg(F.count("*").alias("seen_t"))
+        bound = pairs.join(common.small(common.written(seen, "pii-seen")), "term", "left").withColumn("least_t", F.greatest("least_t", "seen_t")).drop("seen_t")
+        pairs = common.written(bound.where(share("least_t") >= generalise), "pii-pairs")
     wanted = common.written(pairs.select("term").distinct(), "pii-candidates")
     if wanted.limit(1).count() == 0:
         return common.written(wanted.withColumn("disclosure", F.lit(0.0)), "pii-terms")
@@ -129,9 +136,9 @@ def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, genera
     return common.written(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise), "pii-terms")
 
 
-def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """h, term: the different texts that contain a term of the (written) table."""
-    words = _rows(docs).select("h", F.explode(_terms(F.col("text"))).alias("term"))
+def holding(docs: DataFrame, terms: DataFrame, part: int = 1) -> DataFrame:
+    """h, term: the different texts, of one in `part`, that contain a term of the (written) table."""
+    words = _rows(docs).where(F.pmod("h", F.lit(part)) == 0).select("h", F.explode(_terms(F.col("text"))).alias("term"))
     return words.join(common.small(terms.select("term")), "term", "left_semi").distinct()
 
 
