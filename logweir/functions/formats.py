@@ -171,7 +171,7 @@ def mysql_slow(df, s, only, o):
     cols |= {"query_time": num("Query_time").try_cast("double"), "lock_time": num("Lock_time").try_cast("double"), "rows_sent": num("Rows_sent").try_cast("long"), "rows_examined": num("Rows_examined").try_cast("long")}
     cols |= {"schema": F.coalesce(_part(s, r"Schema: (\w+)", 1), _part(s, r"(?im)^use (\w+);", 1))}
     body = F.regexp_replace(F.regexp_replace(s, r"(?m)^#.*\n?", ""), r"(?im)^(?:use \w+|SET timestamp=\d+);\n?", "")
-    return cols | {"statement": F.when(F.trim(body) != "", F.trim(F.regexp_replace(body, r";?\s*$", "")))}
+    return cols | {"statement": F.when(s.contains("# ") & (F.trim(body) != ""), F.trim(F.regexp_replace(body, r";?\s*$", "")))}
 
 
 def haproxy(df, s, only, o):

@@ -54,6 +54,7 @@ class Test:
     arg: Any
     others: tuple = ()
     negated: bool = False
+    __test__ = False  # no test case
 
 
 @dataclass(frozen=True)

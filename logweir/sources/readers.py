@@ -130,10 +130,19 @@ def parse_syslog(lines: DataFrame, field: str = "_raw") -> DataFrame:
 
 
 def split_frames(body: Column) -> Column:
-    """Octet-counted frames ("12 <34>hello w…") or lines, as an array."""
-    framed = body.rlike(r"^\d+ <")
-    pieces = F.regexp_extract_all(body, F.lit(r"(?s)\d+ (<\d{1,3}>.*?)(?=\n?\d+ <\d{1,3}>|$)"), F.lit(1))
-    return F.when(framed, F.transform(pieces, lambda x: F.regexp_replace(x, r"\n$", ""))).otherwise(F.filter(F.split(body, "\n"), lambda x: x != ""))
+    """Octet-counted frames ("7 <34>abc8 <35>hello", counted in characters here) or lines, as an array."""
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def take(acc, _):
+        rest = body.substr(acc["at"], F.length(body))
+        size = F.regexp_extract(rest, r"^(\d+) <", 1)
+        start = acc["at"] + F.length(size) + 1
+        one = body.substr(start, size.cast("int"))
+        return F.when(size == "", acc).otherwise(F.struct((start + size.cast("int")).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+
+    most = F.sequence(F.lit(1), F.size(F.split(body, " <", -1)))
+    framed = F.aggregate(most, zero, take, lambda acc: acc["out"])
+    return F.when(body.rlike(r"^\d+ <"), framed).otherwise(F.filter(F.split(body, "\n"), lambda x: x != ""))
 
 
 def routed(df: DataFrame, key: str, shards: int) -> DataFrame:
@@ -146,5 +155,5 @@ def deduplicated(df: DataFrame, keys: list[str], delay: str | None = None) -> Da
     if df.isStreaming:
         if not delay:
             raise QueryError("a stream needs a delay")
-        return df.withWatermark("_time", delay).dropDuplicatesWithinWatermark(keys)
+        return df.withColumn("_time", F.col("_time").cast("timestamp")).withWatermark("_time", delay).dropDuplicatesWithinWatermark(keys)
     return df.dropDuplicates(keys)

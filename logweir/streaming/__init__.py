@@ -1 +1 @@
-
+"""Live tails, windowed streams and stream-fed views."""
