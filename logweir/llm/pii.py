@@ -81,7 +81,7 @@ def _luhn(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Valid spans of the four base kinds, by kind, then start."""
-    byte = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}"
+    byte = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}"
     email = F.when(F.contains(text, F.lit("@")), _places(text, EMAIL, 0)).otherwise(_none())
     ip = F.when(text.rlike(IP_HINT), F.filter(_places(text, IP, 1), lambda s: s["value"].rlike(byte))).otherwise(_none())
     card = F.when(text.rlike(CARD_HINT), F.filter(_places(text, CARD, 2), lambda s: F.when(F.length(_digits(s["value"])).between(16, 19), _luhn(s["value"])).otherwise(False))).otherwise(_none())
