@@ -43,6 +43,9 @@ AROUND, LETTERS, SUPPORT = 48, 4, 3
 GENERALISE, REMOVE = 0.6, 0.9
 TERM = r"\p{L}{%d,}+" % LETTERS
 
+#: Matches whose places are summed up together.
+BLOCK = 256
+
 Spans = "array<struct<kind: int, start: bigint, end: bigint, value: string>>"
 
 
@@ -51,10 +54,23 @@ def _none() -> Column:
 
 
 def _places(text: Column, pattern: str | Column, kind: int) -> Column:
-    """All matches as spans in code points: pieces between matches and matches alternate."""
+    """All matches as spans in code points: pieces between matches and matches alternate.
+
+    Starts are running sums. They are summed within blocks of BLOCK pieces and over the blocks, since an array that
+    grows by one element at a time is copied each time.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    zero = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / BLOCK).cast("int")), lambda b: F.slice(both, b * BLOCK + 1, BLOCK))
+    long = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    zero = F.lit(0).cast("long")
+
+    def whole(acc, block):
+        total = acc["at"] + F.aggregate(block, zero, lambda a, x: a + long(x))
+        return F.struct(total.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), block.alias("block")))).alias("out"))
+
+    kind_of = "array<struct<at: bigint, block: array<struct<gap: string, hit: string>>>>"
+    placed = F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast(kind_of).alias("out")), whole, lambda acc: acc["out"])
 
     def add(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -62,7 +78,7 @@ def _places(text: Column, pattern: str | Column, kind: int) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("value"))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(both, zero, add, lambda acc: acc["out"])
+    return F.flatten(F.transform(placed, lambda p: F.aggregate(p["block"], F.struct(p["at"].alias("at"), _none().alias("out")), add, lambda acc: acc["out"])))
 
 
 def _digits(c: Column) -> Column:
