@@ -14,6 +14,7 @@ toxic if one of them is; without labelled rows of both kinds every score is 0; i
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,19 +49,39 @@ def forms(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in BEGINNINGS if n < len(word))]
 
 
-def terms(words: list[bytes], known: dict[bytes, int] | None = None) -> dict:
-    """Occurrences of each term; with `known`, of known terms only, by their numbers."""
-    out: dict = {}
+#: Words whose known terms a worker remembers.
+MEMO = 1 << 18
+
+
+def terms(words: list[bytes]) -> dict[bytes, int]:
+    """Occurrences of each term."""
+    out: dict[bytes, int] = {}
     for w, n in Counter(words).items():
         for f in forms(w):
-            if known is not None:
-                f = known.get(f)
-                if f is None:
-                    continue
             out[f] = out.get(f, 0) + n
     return out
 
 
+class Known:
+    """Occurrences of the known terms of a text, by their numbers. Frequent words are looked up once."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.numbers, self.memo = numbers, {}
+
+    def __call__(self, words: list[bytes]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        memo, numbers = self.memo, self.numbers
+        for w, n in Counter(words).items():
+            found = memo.get(w)
+            if found is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                found = memo[w] = tuple(numbers[f] for f in forms(w) if f in numbers)
+            for i in found:
+                out[i] = out.get(i, 0) + n
+        return out
+
+
 @dataclass
 class Index:
     """Examples' normalised TF-IDF vectors by feature and block of BLOCK examples."""
@@ -213,12 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Index, list[
         vectors[r["id"]][r["f"]] = r["n"]
 
     def frequencies(batches):
-        total, rows = np.zeros(len(names), np.int64), 0
+        total, rows, known = np.zeros(len(names), np.int64), 0, Known(place)
         for b in batches:
             rows += b.num_rows
             for t in b.column(0):
                 if t.is_valid:
-                    for f in terms(words(t.as_buffer().to_pybytes()), place):
+                    for f in known(words(t.as_buffer().to_pybytes())):
                         total[f] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(names), dtype=np.int32)), pa.array(np.concatenate([[rows], total]))], ["f", "n"])
 
@@ -235,19 +256,21 @@ def scorer(model: tuple[Index, list[bytes]] | None):
     place = {t: i for i, t in enumerate(model[1])} if model else {}
 
     @F.pandas_udf("score double, evidence array<struct<doc_id: bigint, toxic: int, similarity: double>>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        rows, known = [], {}
-        for t in texts:
-            if model is None:
-                rows.append((0.0, []))
-                continue
-            c = terms(words(t.encode("utf-8", "replace")), place) if isinstance(t, str) else {}
-            key = frozenset(c.items())
-            if key not in known:
-                s, at, sims = model[0].score(c)
-                known[key] = (s, [{"doc_id": int(model[0].ids[i]), "toxic": int(model[0].labels[i]), "similarity": float(x)} for i, x in zip(at[:3], sims[:3], strict=True)])
-            rows.append(known[key])
-        return pd.DataFrame(rows, columns=["score", "evidence"])
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Known(place)
+        for texts in batches:
+            rows, same = [], {}
+            for t in texts:
+                if model is None:
+                    rows.append((0.0, []))
+                    continue
+                c = known(words(t.encode("utf-8", "replace"))) if isinstance(t, str) else {}
+                key = frozenset(c.items())
+                if key not in same:
+                    s, at, sims = model[0].score(c)
+                    same[key] = (s, [{"doc_id": int(model[0].ids[i]), "toxic": int(model[0].labels[i]), "similarity": float(x)} for i, x in zip(at[:3], sims[:3], strict=True)])
+                rows.append(same[key])
+            yield pd.DataFrame(rows, columns=["score", "evidence"])
 
     return score
 
