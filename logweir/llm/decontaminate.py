@@ -5,9 +5,9 @@ select seven of the words in a span and ignore the others, so a replaced word sp
 it. Seeds of documents and benchmark items are joined on their hashes; around each joined hit the two sequences
 are laid over each other without gaps, and the overlap is extended while replacements stay rare.
 
-The scan of the documents sends on only seeds whose hash falls in a bitmap of the benchmark's seeds. The bitmap
-has 2^22 places whatever the benchmark's size: a larger benchmark lets more seeds through to the join, and
-none is lost. Seeds that pass leave the scan with the words around them, so texts are read once and not shuffled.
+The scan of the documents sends on only seeds that pass a Bloom filter of the benchmark's seeds, with three places
+each among 2^25 (4 MB) whatever the benchmark's size: a larger benchmark lets more seeds through to the join,
+and none is lost. Seeds that pass leave the scan with the words around them, so texts are read once and not shuffled.
 
 Defined cases: null texts have no words; an item of fewer than seven words has no seeds and is not searched;
 equal items count as the one with the smallest item_id; documents with repeated ids are judged row by row.
@@ -32,8 +32,8 @@ MIN_WORDS, MIN_SHARE = 13, 0.8
 IDENTITY = 0.8
 #: Score of a replaced word; extension stops when the score falls DROP below its best.
 REPLACED, DROP = -2, 8
-#: Words kept on either side of a hit, and places in the bitmap (as a power of two).
-AROUND, BITS = 128, 22
+#: Words kept on either side of a hit, places in the filter (as a power of two), and where in a seed they are read.
+AROUND, BITS, SHIFTS = 128, 25, (39, 14, 0)
 
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 _SEED_STEP = 0x9E3779B97F4A7C15
@@ -108,8 +108,26 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return common.written(items.select("item_key", "item").mapInArrow(scan, "seed long, item_key long, item_pos int, mask int"), "bench-seeds")
 
 
+def _filter(known: DataFrame) -> np.ndarray:
+    """The Bloom filter's bytes. Bits are combined by byte on the executors; at most 2^22 rows come to the driver."""
+    place = F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND(F.lit((1 << BITS) - 1)) for s in SHIFTS]))
+    bits = known.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("p").bitwiseAND(F.lit(7)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.uint8)
+    return out
+
+
+def passing(s: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    """Positions of the seeds that may be known."""
+    at = np.arange(len(s))
+    for shift in SHIFTS:
+        p = (s[at] >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+        at = at[(filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    return at
+
+
 def _regions(docs: DataFrame, bitmap) -> DataFrame:
-    """A row for each stretch of a document with seeds in the bitmap: its words and the seeds, by place in it."""
+    """A row for each stretch of a document with seeds that pass the filter: its words and the seeds, by place in it."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def scan(batches):
@@ -125,7 +143,7 @@ def _regions(docs: DataFrame, bitmap) -> DataFrame:
                 found, at = [], []
                 for m in range(len(MASKS)):
                     s = seeds(toks, m)
-                    hit = np.flatnonzero(place[s >> np.uint64(64 - BITS)])
+                    hit = passing(s, place)
                     found.append(s[hit])
                     at.append(hit)
                 at = np.concatenate(at)
@@ -148,10 +166,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_t
     spark = docs.sparkSession
     items = _items(benchmark, item_id, item_text)
     known = _item_seeds(items)
-    bitmap = np.zeros(1 << BITS, bool)
-    places = known.select(F.shiftrightunsigned("seed", 64 - BITS).cast("int").alias("p")).distinct().toPandas()["p"]
-    bitmap[places.to_numpy(np.int64)] = True
-    regions = _regions(docs, spark.sparkContext.broadcast(bitmap))
+    regions = _regions(docs, spark.sparkContext.broadcast(_filter(known)))
 
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("region", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     joined = hits.join(common.small(known), "seed")
