@@ -74,6 +74,9 @@ def text(v: Val) -> Column:
         return F.array_join(v.col.cast("array<string>"), "|||")
     if v.kind == "other":
         return F.to_json(v.col)
+    if v.kind == "time":
+        fraction = F.regexp_replace(F.date_format(v.col, ".SSSSSS"), r"\.?0+$", "")
+        return F.concat(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
     return v.col.cast("string")
 
 

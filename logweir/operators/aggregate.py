@@ -58,8 +58,9 @@ def rollup(df: DataFrame, spans: list[str], by: list[str]) -> DataFrame:
     stacks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("_resolution"), bucket(df, "_time", s).alias("_bucket")) for i, s in enumerate(spans)])
     d = df.select(F.explode(stacks).alias("r"), *[c.field(n).col.alias(n) for n in by])
     keys = [f"`{n}`" for n in by]
-    r = d.groupBy(F.col("r.i").alias("_i"), F.col("r._resolution").alias("_resolution"), F.col("r._bucket").alias("_bucket"), *keys).agg(F.count(F.lit(1)).alias("count"))
-    return r.orderBy("_i", "_bucket", *[F.col(k).asc_nulls_first() for k in keys]).drop("_i")
+    position = "__order_span"
+    r = d.groupBy(F.col("r.i").alias(position), F.col("r._resolution").alias("_resolution"), F.col("r._bucket").alias("_bucket"), *keys).agg(F.count(F.lit(1)).alias("count"))
+    return r.orderBy(position, "_bucket", *[F.col(k).asc_nulls_first() for k in keys])
 
 
 def eventstats(df: DataFrame, aggs: list[Agg], by: list[str], order: Order | None = None) -> DataFrame:

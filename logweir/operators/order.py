@@ -30,12 +30,22 @@ def columns(df: DataFrame, order: Order, total: bool = True, flip: bool = False)
             keys = [v.col.isNotNull(), *keys]
         out += [k.desc_nulls_last() if desc != flip else k.asc_nulls_first() for k in keys]
     if total:
-        ties = [F.col(f"`{f.name}`") for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in used and _sortable(f.dataType)]
+        ties = [F.col(f"`{f.name}`") for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in used and _sortable(f.dataType) and not f.name.startswith(HIDDEN)]
+        ties += [F.col(n) for n in df.columns if n.startswith(HIDDEN) and n not in used]
         out += [t.desc_nulls_last() if flip else t.asc_nulls_first() for t in ties]
     return out
 
 
+#: Columns that only keep a row order; results do not show them.
+HIDDEN = "__order_"
+#: The position of a row in its file, where a source keeps it.
+POSITION = "__order_in"
+
+
 def default_order(df: DataFrame) -> Order:
+    """The order of the file where it is known, else newest first."""
+    if POSITION in df.columns:
+        return [(POSITION, False)]
     return [("_time", True)] if "_time" in df.columns else []
 
 

@@ -161,6 +161,8 @@ def bucket(df: DataFrame, field: str, span: str) -> Column:
             return F.make_date(F.floor(first / 12).cast("int"), (first % 12 + 1).cast("int"), F.lit(1)).cast("timestamp_ntz")
         width = times.micros(span)
         return _floor_time(v.col, width, df.schema[field].dataType if field in df.columns else None)
+    if v.kind == "string" and not span.replace(".", "", 1).isdigit():  # times as text
+        return _floor_time(v.col.try_cast("timestamp"), times.micros(span), None)
     n = coerce.number(v)
     width = float(span) if span.replace(".", "", 1).isdigit() else None
     if width is None:

@@ -29,9 +29,9 @@ class State:
     order: order.Order = field(default_factory=list)
 
 
-#: Commands that take or keep a row order whose columns were projected away.
-KEEP_ORDER = frozenset("search where eval fields table rename rex regex bin head offset tail reverse dedup streamstats appendcols fillnull".split())
-HIDDEN = "__order_"
+HIDDEN = order.HIDDEN
+#: Commands that look at all columns, or pass them on to where they would be seen.
+ALL_COLUMNS = frozenset("describe glimpse untable mvcombine pack join append union appendpipe tee materialize compare transaction".split())
 
 
 def plain(s: State) -> State:
@@ -98,7 +98,7 @@ class Run:
 
     def commands(self, state: State, commands: list[Command], q: Query) -> State:
         for i, c in enumerate(commands):
-            if c.name not in KEEP_ORDER:
+            if c.name in ALL_COLUMNS:
                 state = plain(state)
             if c.name == "compare":
                 state = self._compare(state, c, Query(q.source, commands[:i]))
@@ -111,7 +111,7 @@ class Run:
 
     def _compare(self, state: State, c: Command, prefix: Query) -> State:
         """The prefix over rows moved forward by the shift is the previous period."""
-        before = replace(self, shift=self.shift + timedelta(seconds=times.seconds(c["shift"])))
+        before = replace(self, shift=self.shift + timedelta(seconds=times.seconds(c["shift"].lstrip("+-"))))
         return State(sets.compare(state.df, plain(before.query(prefix)).df), state.order)
 
     # rows
@@ -247,7 +247,7 @@ class Run:
         return State(aggregate.chart(s.df, c["aggs"], c["keys"], s.order))
 
     def do_rollup(self, s, c):
-        return State(aggregate.rollup(s.df, c["spans"], c["by"]))
+        return State(aggregate.rollup(s.df, c["spans"], c["by"]), [(f"{HIDDEN}span", False), ("_bucket", False), *[(n, False) for n in c["by"]]])
 
     def do_eventstats(self, s, c):
         return State(aggregate.eventstats(s.df, c["aggs"], c["by"], s.order), s.order)

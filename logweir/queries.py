@@ -105,7 +105,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "rare": (f"{E} | rare 2 event_type | table event_type, count", "SELECT event_type, count(*) AS count FROM events GROUP BY 1 ORDER BY 2, 1 LIMIT 2"),
     "topby": (f"{E} | topby 4 user_id using sum(value) as s compute count | eval s=round(s, 4)", "SELECT user_id, round(sum(value), 4) AS s, count(*) AS count FROM events GROUP BY 1 ORDER BY sum(value) DESC LIMIT 4"),
     "bottomby": (f"{E} | bottomby 4 user_id using avg(value) as a | eval a=round(a, 6)", "SELECT user_id, round(avg(value), 6) AS a FROM events GROUP BY 1 ORDER BY avg(value) LIMIT 4"),
-    "slowest": (f"{E} | rename value as duration_ms | slowest 3 event_type", "SELECT event_type, max(value) AS max_duration_ms FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 3"),
+    "slowest": (f"{E} | rename value as duration_ms | slowest 3 event_type by duration_ms", "SELECT event_type, max(value) AS max_duration_ms FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 3"),
     "exemplars": (f"{E} | exemplars 2 by event_type | table event_type, event_id", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 2"),
     # sets
     "join_inner": ("from orders | join o_custkey [from customer | rename c_custkey as o_custkey | fields o_custkey, c_mktsegment] | stats count by c_mktsegment", "SELECT c_mktsegment, count(*) AS count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),

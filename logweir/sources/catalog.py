@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.ast import QueryError, Source
-from ..operators import sets
+from ..operators import order, sets
 
 
 class Catalog:
@@ -21,9 +21,10 @@ class Catalog:
         self.providers: dict[str, Callable[[], DataFrame]] = {}
         self.log: list[dict] = []
 
-    def add(self, name: str, source: DataFrame | Callable[[], DataFrame], time: str | None = None) -> Catalog:
-        """time: the column that becomes _time."""
-        make = source if callable(source) else (lambda: source)
+    def add(self, name: str, source: DataFrame | Callable[[], DataFrame], time: str | None = None, in_order: bool = False) -> Catalog:
+        """time: the column that becomes _time. in_order: rows of the file keep its order unless a query sorts them."""
+        given = source if callable(source) else (lambda: source)
+        make = (lambda: given().withColumn(order.POSITION, F.monotonically_increasing_id())) if in_order else given
         self.providers[name] = (lambda: _timed(make(), time)) if time else make
         return self
 
@@ -49,15 +50,15 @@ class Catalog:
     def read(self, name: str) -> DataFrame:
         if name.startswith("system."):
             return self.system(name.removeprefix("system."))
-        if name not in self.providers:
-            raise QueryError(f"unknown index {name!r}")
+        if name not in self.providers:  # an index that has no rows yet is no error
+            return self.spark.createDataFrame([], "_time timestamp_ntz, _raw string, index string")
         return self.providers[name]()
 
     def scan(self, source: Source) -> DataFrame:
         """One index as it is; of several, or of patterns, the union with the name in the column index."""
         names = self.names(source.names)
         if not names:
-            raise QueryError(f"no index matches {', '.join(source.names)}")
+            return self.read("")
         if len(names) == 1 and names == source.names:
             return self.read(names[0])
         return sets.union([self.read(n).withColumn("index", F.lit(n)) for n in names])
