@@ -31,7 +31,7 @@ EXAMPLES, FEATURES = 1500, 256
 #: A feature is in at least this many toxic examples, with at least this chi-squared.
 LEAST_EXAMPLES, LEAST_CHI2 = 5, 10.83
 #: Neighbours that vote; examples in a block; weight of the prior among the votes.
-K, BLOCK, PRIOR = 16, 64, 0.25
+K, BLOCK, PRIOR = 16, 256, 0.25
 
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 
@@ -232,6 +232,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Index, list[
     vectors: dict[int, dict[int, int]] = {i: {} for i, _, _ in heads}
     for r in cells.join(F.broadcast(feats), "term").select("id", "f", "n").collect():
         vectors[r["id"]][r["f"]] = r["n"]
+    # beginnings of one word are in the same examples: one feature is enough
+    members: dict[int, list[int]] = {f: [] for f in range(len(names))}
+    for i, v in vectors.items():
+        for f in v:
+            members[f].append(i)
+    first: dict[frozenset, int] = {}
+    for f in sorted(members, key=lambda f: (len(names[f]), names[f])):
+        first.setdefault(frozenset(members[f]), f)
+    kept = sorted(first.values())
+    new = {f: j for j, f in enumerate(kept)}
+    names = [names[f] for f in kept]
+    place = {t: j for j, t in enumerate(names)}
+    vectors = {i: {new[f]: n for f, n in v.items() if f in new} for i, v in vectors.items()}
 
     def frequencies(batches):
         total, rows, known = np.zeros(len(names), np.int64), 0, Known(place)
