@@ -54,7 +54,7 @@ def order_key(order: list[tuple[str, bool]], c: Compiler) -> Column | None:
     return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]) if parts else None
 
 
-def compile_aggregate(a: Agg, c: Compiler, order: list[tuple[str, bool]], over=lambda x: x, windowed: bool = False, span: float | None = None, ordered_window: bool = False) -> Column:
+def compile_aggregate(a: Agg, c: Compiler, order: list[tuple[str, bool]], over=lambda x: x, windowed: bool = False, span: float | None = None, ordered_window: bool = False, levels: dict | None = None) -> Column:
     f = a.func
     if f == "count" and not a.args:
         return over(F.count(F.lit(1)))
@@ -118,5 +118,8 @@ def compile_aggregate(a: Agg, c: Compiler, order: list[tuple[str, bool]], over=l
     if f in ("stdevp", "varp"):
         return over((F.stddev_pop if f == "stdevp" else F.var_pop)(x))
     if a.level is not None:
+        together = (levels or {}).get(a.args, [])
+        if len(together) > 1:  # one pass over the values for all levels of a field
+            return F.get(over(F.percentile(x, F.array(*[F.lit(p) for p in together]))), together.index(a.level))
         return over(F.percentile(x, F.lit(a.level)))
     raise QueryError(f"unknown aggregate {f}")

@@ -26,7 +26,16 @@ def _part(s: Column, pattern: str, i: int, empty: tuple[str, ...] = ("-", "")) -
 
 
 def _parts(s: Column, pattern: str, names: str, empty=("-", "")) -> dict[str, Column]:
-    return {n: _part(s, pattern, i, empty) for i, n in enumerate(names.split(), 1) if n != "_"}
+    """The groups of the first match by name. The text is matched once for all of them: the match is rewritten as its groups
+    between separators (control characters, taken out of the text before), and split."""
+    names = names.split()
+    marked = "\x02" + "".join(f"\x01${i}" for i in range(1, len(names) + 1))
+    parts = F.split(F.regexp_replace(F.translate(s, "\x01\x02", ""), f"(?s)^.*?(?-s:{pattern}).*$", marked), "\x01")
+    out = {}
+    for i, n in enumerate(names, 1):
+        got = F.when(F.get(parts, 0) == "\x02", F.get(parts, i))
+        out[n] = F.when(~got.isin(*empty), got) if empty else got
+    return out
 
 
 def _whole(cols: dict[str, Column], *names: str) -> dict[str, Column]:

@@ -16,7 +16,11 @@ from .rows import bucket
 def stats(df: DataFrame, aggs: list[Agg], by: list[str], order: Order | None = None, span: float | None = None) -> DataFrame:
     """One row per group (null is a group); one row of all rows without `by`."""
     c = Compiler(df)
-    cols = [compile_aggregate(a, c, order or [], span=span).alias(a.alias) for a in aggs]
+    levels: dict = {}
+    for a in aggs:
+        if a.level is not None and a.level not in levels.setdefault(a.args, []):
+            levels[a.args].append(a.level)
+    cols = [compile_aggregate(a, c, order or [], span=span, levels=levels).alias(a.alias) for a in aggs]
     return df.groupBy(*[c.field(n).col.alias(n) for n in by]).agg(*cols)
 
 
