@@ -27,8 +27,9 @@ WINDOW = 128
 #: Bounds of the training sample: languages, documents of each, windows of each document.
 MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 100, 300, 4
 STEPS, BATCH, RATE = 360, 128, 0.02
-#: Below this pooled probability the pipeline rejects a document.
-MIN_SCORE = 0.4
+#: Below this pooled probability a document is rejected. Short and mixed texts have low probabilities though nothing
+#: is wrong with them, so by default only those without any language (und) go.
+MIN_SCORE = 0.0
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
