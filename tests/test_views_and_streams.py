@@ -106,3 +106,20 @@ def test_view_fed_by_a_stream(engine, source, tmp_path):
     q.awaitTermination(60)
     want = Engine(engine.spark, engine.catalog).query("from events | stats count, avg(value) as a by event_type")
     assert rows(engine.views.read("live")) == rows(want)
+
+
+def test_results_functions_and_deduplication(engine, spark):
+    from logweir.functions.compiler import register_function
+    from logweir.functions.coerce import Val, number
+    from logweir.sources.readers import deduplicated, routed
+    from logweir.streaming.tail import results
+
+    register_function("twice", lambda c, args: Val(number(c(args[0])) * 2, "float"))
+    df = engine.query("from events | eval x=twice(user_id) | stats sum(x) as a, sum(user_id) as b")
+    (row,) = results(df)
+    assert row["a"] == 2 * row["b"]
+    events = engine.catalog.read("events")
+    assert deduplicated(events.unionAll(events), ["event_id"]).count() == 1000
+    assert routed(events, "user_id", 7).agg(F.max("_shard")).first()[0] < 7
+    with pytest.raises(QueryError):
+        deduplicated(spark.readStream.format("rate").load(), ["value"])
