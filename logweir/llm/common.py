@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many narrow rows (some tens of bytes each) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,14 +79,14 @@ def keep_listed(docs: DataFrame, light: DataFrame, kept: Column, key_of_text: Co
     """
     dropped = light.where(~kept)
     if light.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        ids = written(dropped.select(F.col("doc_id").alias("_gone")), "gone")
-        return docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+        ids = written(dropped.select(F.col("doc_id").alias("__keep_gone")), "gone")
+        return docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("__keep_gone")), "left_anti")
     if key_of_text is None:
         raise ValueError("doc_id repeats; a key of the text is needed")
-    state = written(light.groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.count_if(kept).alias("_k")).where("_k < _n").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_k"), "gone")
+    state = written(light.groupBy("doc_id", "key").agg(F.count("*").alias("__keep_n"), F.count_if(kept).alias("__keep_k")).where("__keep_k < __keep_n").select(F.col("doc_id").alias("__keep_id"), F.col("key").alias("__keep_key"), "__keep_k"), "gone")
     cols = docs.columns
-    tagged = docs.withColumn("_t", key_of_text)
-    same = tagged["doc_id"].eqNullSafe(F.col("_id")) & tagged["_t"].eqNullSafe(F.col("_key"))
+    tagged = docs.withColumn("__keep_t", key_of_text)
+    same = tagged["doc_id"].eqNullSafe(F.col("__keep_id")) & tagged["__keep_t"].eqNullSafe(F.col("__keep_key"))
     whole = tagged.join(state, same, "left_anti").select(cols)
-    single = tagged.join(state.where("_k > 0"), same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(cols)
+    single = tagged.join(state.where("__keep_k > 0"), same, "left_semi").dropDuplicates(["doc_id", "__keep_t"]).select(cols)
     return whole.unionByName(single)

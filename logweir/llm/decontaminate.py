@@ -196,8 +196,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows that share a doc_id with a contaminated row go with it.
     """
-    gone = common.written(find(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "bench-gone")
-    return docs.join(common.small(gone), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = common.written(find(docs, benchmark).select(F.col("doc_id").alias("__keep_gone")).distinct(), "bench-gone")
+    return docs.join(common.small(gone), docs["doc_id"].eqNullSafe(F.col("__keep_gone")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

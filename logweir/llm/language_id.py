@@ -229,7 +229,7 @@ def scorer(net: Network | None):
 def reject_others(docs: DataFrame, learn: Column, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without rows that are ``und`` or whose language is less likely than min_score. Columns as they are."""
     hit = scorer(fit(docs, learn))(F.col("text"))
-    return docs.withColumn("_language", hit).where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= min_score)).drop("_language")
+    return docs.withColumn("__language", hit).where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= min_score)).drop("__language")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

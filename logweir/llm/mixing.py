@@ -47,25 +47,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     """docs with each row as often as its number says, in random order; copy_no from 1, n_copies, mix_key."""
     docs = docs.drop("copy_no", "n_copies", "mix_key")
     parts = F.ceil(F.col("mean") / PART)
-    r = rates(docs, weights, power, size).select(F.col("source").alias("_source"), parts.alias("_parts"), (F.col("mean") / parts).alias("_mean"))
-    first = F.exp(-F.col("_mean"))
+    r = rates(docs, weights, power, size).select(F.col("source").alias("__mix_source"), parts.alias("__mix_parts"), (F.col("mean") / parts).alias("__mix_mean"))
+    first = F.exp(-F.col("__mix_mean"))
     table = F.aggregate(
         F.sequence(F.lit(1), F.lit(ENTRIES)),
         F.struct(first.alias("p"), F.array(first).alias("cdf")),
-        lambda acc, k: F.struct((acc["p"] * F.col("_mean") / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("_mean") / k)).alias("cdf")),
+        lambda acc, k: F.struct((acc["p"] * F.col("__mix_mean") / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("__mix_mean") / k)).alias("cdf")),
         lambda acc: acc["cdf"],
     )
-    r = common.written(r.withColumn("_cdf", table), "mix-rates")
-    known = docs.join(common.small(r, bound=BROADCAST_SOURCES), docs["source"].eqNullSafe(F.col("_source")))
+    r = common.written(r.withColumn("__mix_cdf", table), "mix-rates")
+    known = docs.join(common.small(r, bound=BROADCAST_SOURCES), docs["source"].eqNullSafe(F.col("__mix_source")))
     row = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     uniform = lambda j: _number(8, F.lit(seed), row, j.cast("string")) / float(1 << 32)
 
     def copies(j: Column) -> Column:
         u = uniform(j)
-        return F.size(F.filter("_cdf", lambda c: c <= u))
+        return F.size(F.filter("__mix_cdf", lambda c: c <= u))
 
-    n = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_parts")), F.lit(0), lambda acc, j: acc + copies(j))
-    some = known.withColumn("n_copies", n).where("n_copies > 0").drop("_source", "_parts", "_mean", "_cdf")
+    n = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("__mix_parts")), F.lit(0), lambda acc, j: acc + copies(j))
+    some = known.withColumn("n_copies", n).where("n_copies > 0").drop("__mix_source", "__mix_parts", "__mix_mean", "__mix_cdf")
     copied = some.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copied.withColumn("mix_key", _number(15, F.lit(seed), row, F.lit("copy"), F.col("copy_no").cast("string")))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -166,7 +166,7 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
         return light.select("doc_id", "h", "spans", F.array().cast("array<string>").alias("removed"))
     texts = common.written(holding(docs, terms).join(common.small(terms), "term").groupBy("h").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term"))).alias("removed")), "pii-texts")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    held = _rows(docs).select("h", "text").join(common.small(texts), "h").withColumn("terms", _places(F.col("text"), pattern, 4))
+    held = _rows(docs).select("h", "text").join(common.small(texts, bound=common.BROADCAST_ROWS // 10), "h").withColumn("terms", _places(F.col("text"), pattern, 4))
     held = common.written(held.groupBy("h").agg(F.any_value("terms").alias("terms"), F.any_value("removed").alias("removed")), "pii-places")
     r = light.join(common.small(held, bound=common.BROADCAST_ROWS // 10), "h", "left")
     free = F.filter(F.coalesce("terms", _none()), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logweir.llm import common, exact_dedup, queries, simhash_golay
@@ -40,3 +41,21 @@ def test_every_stage(spark):
             assert docs.count() == len({r["component_id"] for r in simhash_golay.decide(before).collect()})
     assert set(columns) < set(docs.columns) and docs.count() > 0
     assert docs.groupBy("doc_id").count().join(docs.select("doc_id", "n_copies").distinct(), "doc_id").where("count <> n_copies").count() == 0
+
+
+def test_stages_with_clashing_and_null_columns(spark):
+    """Columns named like the operators' own, nulls everywhere, repeated rows: no stage stumbles."""
+    docs = common.table(spark, SF, "documents").limit(20)
+    names = ["_source", "_gone", "_t", "_id", "_key", "_language", "uid", "fp", "key", "kept", "keep_id", "component_id", "n", "copy_no"]
+    docs = docs.select("*", *[F.nullif(F.lit(i), F.lit(-1)).alias(n) for i, n in enumerate(names)])
+    nulls = spark.createDataFrame([tuple([None] * len(docs.columns))] * 2, docs.schema)
+    docs = common.written(docs.unionAll(docs.limit(1)).unionAll(nulls), "clash")
+    plain = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, docs, SF), name)
+        assert set(plain) <= set(out.columns)
+        if name in ("exact_dedup", "simhash_near_dedup"):
+            assert out.where("doc_id is null").count() == 1
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
