@@ -60,7 +60,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "search_glob": ('from part | search p_type=*a* p_name=* | stats count', "SELECT count(*) AS count FROM part WHERE lower(p_type) LIKE '%a%' AND p_name IS NOT NULL"),
     "search_case_term": ('from documents | rename text as _raw | search CASE(MIT) TERM(license) | table doc_id', "SELECT doc_id FROM documents WHERE contains(text, 'MIT') AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])license([^A-Za-z0-9_]|$)')"),
     # expressions
-    "eval_arith": (f"{E} | eval a=user_id / 4, b=user_id % 4, c=value / 4, d=user_id * 2 + 1, e=user_id - value, f=user_id / 0 | table event_id, a, b, c, d, e, f", "SELECT event_id, user_id // 4 AS a, user_id % 4 AS b, value / 4 AS c, user_id * 2 + 1 AS d, user_id - value AS e, CAST(NULL AS BIGINT) AS f FROM events"),
+    "eval_arith": (f"{E} | eval a=user_id / 4, b=user_id % 4, c=value / 4, d=user_id * 2 + 1, e=user_id - value, f=isnull(user_id / 0) | table event_id, a, b, c, d, e, f", "SELECT event_id, user_id // 4 AS a, user_id % 4 AS b, value / 4 AS c, user_id * 2 + 1 AS d, user_id - value AS e, true AS f FROM events"),
     "eval_sequence": (f"{E} | eval a=user_id + 1, b=a * 2, a=b + 1 | table event_id, a, b", "SELECT event_id, (user_id + 1) * 2 + 1 AS a, (user_id + 1) * 2 AS b FROM events"),
     "eval_if_case": (f'{E} | eval size=case(value > 100, "big", value > 20, "middle", "small"), w=if(event_type="view", 1, 0) | stats count, sum(w) as w by size', "SELECT CASE WHEN value > 100 THEN 'big' WHEN value > 20 THEN 'middle' ELSE 'small' END AS size, count(*) AS count, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::DOUBLE AS w FROM events GROUP BY 1"),
     "eval_validate": (f'{E} | eval e=validate(value > 10, "low", user_id < 10, "user") | stats count by e', "SELECT CASE WHEN NOT value > 10 THEN 'low' WHEN NOT user_id < 10 THEN 'user' END AS e, count(*) AS count FROM events GROUP BY 1"),
@@ -109,8 +109,8 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "exemplars": (f"{E} | exemplars 2 by event_type | table event_type, event_id", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 2"),
     # sets
     "join_inner": ("from orders | join o_custkey [from customer | rename c_custkey as o_custkey | fields o_custkey, c_mktsegment] | stats count by c_mktsegment", "SELECT c_mktsegment, count(*) AS count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
-    "join_left": ("from customer | rename c_custkey as k | join type=left k [from orders | stats count as n by o_custkey | rename o_custkey as k] | table k, n", "SELECT c_custkey AS k, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey"),
-    "join_outer": ("from customer | where c_custkey < 50 | rename c_custkey as k | fields k, c_name | join type=outer k [from orders | where o_custkey > 25 | stats count as n by o_custkey | rename o_custkey as k] | table k, c_name, n", "SELECT coalesce(c_custkey, o_custkey) AS k, c_name, n FROM (SELECT * FROM customer WHERE c_custkey < 50) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey > 25 GROUP BY 1) ON o_custkey = c_custkey"),
+    "join_left": ("from customer | rename c_custkey as k | join type=left k [from orders | stats count as n by o_custkey | rename o_custkey as k] | fillnull value=0 n | table k, n", "SELECT c_custkey AS k, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey"),
+    "join_outer": ("from customer | where c_custkey < 50 | rename c_custkey as k | fields k, c_name | join type=outer k [from orders | where o_custkey > 25 | stats count as n by o_custkey | rename o_custkey as k] | fillnull value=0 n | table k, c_name, n", "SELECT coalesce(c_custkey, o_custkey) AS k, c_name, coalesce(n, 0) AS n FROM (SELECT * FROM customer WHERE c_custkey < 50) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey > 25 GROUP BY 1) ON o_custkey = c_custkey"),
     "lookup": ("from customer | rename c_nationkey as n_nationkey | lookup nation on n_nationkey | stats count by n_name", "SELECT n_name, count(*) AS count FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1"),
     "append": (f'{E} | stats count by event_type | append [from events | stats count | eval event_type="all"]', "SELECT event_type, count(*) AS count FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM events"),
     "union": (f"{E} | where user_id = 1 | fields event_id | union [from events | where user_id = 2 | fields event_id], [from events | where user_id = 1 | fields event_id]", "SELECT event_id FROM events WHERE user_id IN (1, 2) UNION ALL SELECT event_id FROM events WHERE user_id = 1"),
