@@ -17,6 +17,7 @@ class Val:
     col: Column
     kind: str  # null string int float bool time array other
     literal: object = None
+    dtype: str | None = None  # of a time column: timestamp, timestamp_ntz or date
 
     @property
     def numeric(self) -> bool:
@@ -119,6 +120,13 @@ def compare(op: str, a: Val, b: Val) -> Column:
     return F.coalesce(_compare(op, a, b), F.lit(False))
 
 
+def may_be_null(op: str, a: Val, b: Val) -> Column | None:
+    """The comparison without its last step, null becoming false; None where nulls have a meaning of their own."""
+    if "null" in (a.kind, b.kind) or op == "=" and a.literal is None and b.literal is None:
+        return None
+    return _compare(op, a, b)
+
+
 _OPS = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
 
 
@@ -131,6 +139,10 @@ def _compare(op: str, a: Val, b: Val) -> Column:
     if "time" in (a.kind, b.kind):
         other = b if a.kind == "time" else a
         if other.kind == "time":
+            if a.dtype == b.dtype:
+                return f(a.col, b.col)
+            if b.literal is not None and a.dtype:  # only the literal is cast, so that the comparison reaches the scan
+                return f(a.col, b.col.cast(a.dtype))
             return f(a.col.cast("timestamp"), b.col.cast("timestamp"))
         if other.kind == "string":
             return f(*(x.col.cast("timestamp") if x.kind == "time" else x.col.try_cast("timestamp") for x in (a, b)))

@@ -32,7 +32,8 @@ class Compiler:
         """A column; an alias; a path into a struct or JSON column; a key of the raw JSON; else null."""
         for n in (name, ALIASES.get(name)):
             if n in self.schema:
-                return Val(F.col(f"`{n}`"), coerce.kind_of(self.schema[n]))
+                kind = coerce.kind_of(self.schema[n])
+                return Val(F.col(f"`{n}`"), kind, dtype=self.schema[n].simpleString() if kind == "time" else None)
         root, dot, rest = name.partition(".")
         bracket = root.find("[")
         if bracket > 0:
@@ -68,7 +69,7 @@ class Compiler:
         if isinstance(e, Time):
             if e.text[:1].isdigit() and not e.text[:4].isdigit():
                 return Val(F.lit(times.seconds(e.text)), "float", times.seconds(e.text))
-            return Val(F.lit(times.resolve(e.text, self.now)).cast("timestamp_ntz"), "time", e.text)
+            return Val(F.lit(times.resolve(e.text, self.now)).cast("timestamp_ntz"), "time", e.text, "timestamp_ntz")
         if isinstance(e, Call):
             make = EXTENSIONS.get(e.name) or FUNCTIONS.get(e.name)
             if make is None:
@@ -93,6 +94,23 @@ class Compiler:
     def truth(self, e) -> Column:
         return coerce.truth(self(e))
 
+    def condition(self, e) -> Column:
+        """What a filter keeps. A filter takes null for false, so where only AND and OR stand above a comparison it is left
+        as it is, in the form that Parquet scans can use."""
+        if isinstance(e, Bin) and e.op in ("and", "or"):
+            a, b = self.condition(e.left), self.condition(e.right)
+            return a & b if e.op == "and" else a | b
+        if isinstance(e, Bin) and e.op in ("=", "!=", "<", "<=", ">", ">=") and not isinstance(e.right, Glob) and not (isinstance(e.right, Lit) and isinstance(e.right.value, str) and is_glob(e.right.value)):
+            c = coerce.may_be_null(e.op, self(e.left), self(e.right))
+            return self.truth(e) if c is None else c
+        if isinstance(e, Test) and e.op == "between" and not e.negated:
+            return self.condition(Bin("and", Bin(">=", e.arg, e.others[0]), Bin("<=", e.arg, e.others[1])))
+        if isinstance(e, Test) and e.op == "in" and not e.negated:
+            v = self(e.arg)
+            if v.kind in ("int", "float", "string") and all(isinstance(x, Lit) and type(x.value) in ((int, float) if v.numeric else (str,)) for x in e.others):
+                return v.col.isin([x.value for x in e.others])
+        return self.truth(e)
+
     def compare(self, op: str, a: Val, b: Val) -> Column:
         return coerce.compare(op, a, b)
 

@@ -20,7 +20,7 @@ def c_(name: str) -> Column:
 
 
 def where(df: DataFrame, expr) -> DataFrame:
-    return df.filter(Compiler(df).truth(expr))
+    return df.filter(Compiler(df).condition(expr))
 
 
 def search(df: DataFrame, tree) -> DataFrame:

@@ -127,7 +127,7 @@ class Run:
         return State(rows.search(df, c["tree"]), s.order)
 
     def do_where(self, s, c):
-        return State(s.df.filter(Compiler(s.df, self.now).truth(c["expr"])), s.order)
+        return State(s.df.filter(Compiler(s.df, self.now).condition(c["expr"])), s.order)
 
     def do_regex(self, s, c):
         return State(rows.regex(s.df, c["field"], c["pattern"], c["negated"]), s.order)

@@ -289,6 +289,6 @@ class Views:
             else:
                 df = self.states(d)
                 for e in rest:
-                    df = df.filter(Compiler(df).truth(e))
+                    df = df.filter(Compiler(df).condition(e))
                 return merged(df, have["aggs"], stats["by"], keep), q.commands[at + 1 :]
         return None

@@ -122,3 +122,27 @@ def test_rejects_unknown(ask, spark):
     for q in ("| eval a=nosuch(1)", "from system.nothing", "| outliers field=id method=x"):
         with pytest.raises(QueryError):
             ask(df, q)
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    """Conditions show among the pushed filters, and only columns that a query reads are read."""
+    from logweir.queries import NOW, engine
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+
+    def plan(text):
+        df = engine(spark, "/root/testdata/sf0.001").query(text, now=NOW)
+        return df._jdf.queryExecution().executedPlan().toString().split("FileScan", 1)[1]
+
+    p = plan('from events[-7d] | where value > 50 and (event_type = "view" or user_id in (1, 2)) | stats count by user_id')
+    pushed = p.split("PushedFilters: [", 1)[1].split("ReadSchema", 1)[0]
+    for part in ("GreaterThan(value,50.0)", "GreaterThanOrEqual(ts", "EqualTo(event_type,view)", "In(user_id, [1,2])"):
+        assert part in pushed, pushed
+    assert "props" not in p.split("ReadSchema", 1)[1] and "event_id" not in p.split("ReadSchema", 1)[1]
+    assert "LessThan(ts" in plan("from events | where _time < @2024-01-10 | stats count")
+
+
+def test_conditions_agree_with_two_valued_logic(ask, spark):
+    df = spark.createDataFrame([(1, "a"), (None, "a"), (2, None), (None, None)], "n long, s string")
+    for q, want in (("n > 0 or s = \"a\"", 3), ("not (n > 0 or s = \"a\")", 1), ("n != 1", 1), ("not n = 1", 3), ("n in (1, 2) and s = \"a\"", 1), ("n between 1 and 2", 2), ("not (n between 1 and 1)", 3), ("(n > 1) xor (s = \"a\")", 3), ("n = s", 1)):
+        assert ask(df, f"| where {q} | stats count")[0]["count"] == want, q
