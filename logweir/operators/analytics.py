@@ -69,10 +69,13 @@ def correlate(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFra
     return d.agg(r.alias("_correlation"), F.lit(method).alias("_method"), F.count("*").alias("_n"), F.lit(a).alias("_field1"), F.lit(b).alias("_field2"))
 
 
-def _ranks(d: DataFrame, name: str) -> DataFrame:
-    """Average rank of each value: values are counted, so only different ones are sorted, in range partitions whose sizes are
-    then added up."""
-    counts = d.groupBy(name).count().repartitionByRange(name).withColumn("_p", F.spark_partition_id())
+def _ranks(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
+    """Average rank of each value: values are counted, so only different ones are sorted, in ranges whose sizes are then added
+    up. The ranges' bounds are constants of the query, so a task that runs again deals values as before."""
+    counts = d.groupBy(name).count()
+    bounds = sorted(set(counts.approxQuantile(name, [i / ranges for i in range(1, ranges)], 0.01)))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b <= F.col(name)))
+    counts = counts.withColumn("_p", part)
     sizes = counts.groupBy("_p").agg(F.sum("count").alias("_s"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     run = F.sum("count").over(Window.partitionBy("_p").orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
