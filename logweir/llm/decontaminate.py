@@ -84,6 +84,23 @@ def counts(equal: int, length: int, item_words: int) -> bool:
     return equal >= min(MIN_WORDS, MIN_SHARE * item_words) and equal >= IDENTITY * length
 
 
+def overlaps(doc: np.ndarray, item: np.ndarray, at: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """All overlaps of one diagonal that count, from its hits (item position, mask).
+
+    A hit within an overlap that counts adds nothing. One within an overlap that does not is extended all the same,
+    as a part of that overlap may count.
+    """
+    found: list[tuple[int, int, int]] = []
+    for pos, mask in sorted(hits):
+        end = pos + len(MASKS[mask])
+        if any(a <= pos and end <= z for a, z, _ in found):
+            continue
+        new = overlap(doc, item, at, (pos, end))
+        if counts(new[2], new[1] - new[0], len(item)):
+            found.append(new)
+    return found
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def scan(batches):
         for b in batches:
@@ -170,7 +187,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_t
 
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("region", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     joined = hits.join(common.small(known), "seed")
-    diagonal = joined.groupBy("region", "item_key", (F.col("place") - F.col("item_pos")).alias("at")).agg(F.min(F.struct("item_pos", "mask")).alias("first"))
+    diagonal = joined.groupBy("region", "item_key", (F.col("place") - F.col("item_pos")).alias("at")).agg(F.collect_list(F.struct("item_pos", "mask")).alias("hits"))
     full = diagonal.join(regions.select("region", "uid", "doc_id", "start", "n_words", "tokens"), "region").join(common.small(items), "item_key")
 
     def check(batches):
@@ -180,13 +197,12 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_t
             uid, doc_id, n_words, item_ids, start, at, pos, mask = (b.column(i).to_pylist() for i in range(8))
             for i, (doc, item) in enumerate(zip(b.column(8), b.column(9), strict=True)):
                 d, t = doc.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False)
-                a, z, equal = overlap(d, t, at[i], (pos[i], pos[i] + len(MASKS[mask[i]])))
-                if counts(equal, z - a, len(t)):
+                for a, z, equal in overlaps(d, t, at[i], list(zip(pos[i], mask[i], strict=True))):
                     rows.append((uid[i], doc_id[i], n_words[i], item_ids[i], start[i] + at[i] + a, z - a, equal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    found = full.select("uid", "doc_id", "n_words", "item_id", "start", "at", "first.item_pos", "first.mask", "tokens", "item").mapInArrow(check, "uid long, doc_id long, n_words int, item_id long, doc_start int, n_aligned int, n_equal int")
+    found = full.select("uid", "doc_id", "n_words", "item_id", "start", "at", "hits.item_pos", "hits.mask", "tokens", "item").mapInArrow(check, "uid long, doc_id long, n_words int, item_id long, doc_start int, n_aligned int, n_equal int")
     best = F.max(F.struct("n_equal", -F.col("n_aligned"), -F.coalesce("item_id", F.lit(0)), -F.col("doc_start"), "item_id", "doc_start", "n_aligned")).alias("b")
     return found.groupBy("uid", "doc_id", "n_words").agg(best).select("uid", "doc_id", "n_words", "b.item_id", "b.doc_start", "b.n_aligned", "b.n_equal")
 
