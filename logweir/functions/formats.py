@@ -1,7 +1,7 @@
 """Log formats: each gives named columns taken out of one text column.
 
 Fields of a fixed format are expressions of their own, so those that a query does not use are pruned. Formats with free
-keys (json, logfmt, kv, the tails of others) take their keys from ``extract(...)`` or from the first rows.
+keys (json, logfmt, kv, the tails of others) take their keys from ``extract(...)`` or from all rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..lang.ast import QueryError
 from .patterns import quote
 
-SAMPLE = 1000
+KEYS = 10_000
 SEVERITIES = "emerg alert crit err warning notice info debug".split()
 FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
 
@@ -52,8 +52,10 @@ def pairs(s: Column, assign: str = "=", delim: str | None = None, quote_: str =
     return F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], e["v"])))
 
 
-def map_keys(df: DataFrame, m: Column, sample: int = SAMPLE) -> list[str]:
-    rows = df.select(m.alias("m")).where("m is not null").limit(sample).select(F.explode(F.map_keys("m")).alias("k")).distinct().collect()
+def map_keys(df: DataFrame, m: Column, limit: int = KEYS) -> list[str]:
+    rows = df.select(m.alias("m")).select(F.explode(F.map_keys("m")).alias("k")).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise QueryError(f"the rows have more than {limit} different keys")
     return sorted(r["k"] for r in rows)
 
 

@@ -186,22 +186,25 @@ def bin_(df: DataFrame, field: str, span: str = "1h", alias: str | None = None)
     return df.withColumn(alias or field, bucket(df, field, span))
 
 
-def json(df: DataFrame, field: str = "_raw", paths: list[tuple[str, str]] | None = None, sample: int = 1000) -> DataFrame:
-    """Paths become columns; without paths, all scalar keys of a sample of the rows do, nested ones dotted."""
+def json(df: DataFrame, field: str = "_raw", paths: list[tuple[str, str]] | None = None, limit: int = 10_000) -> DataFrame:
+    """Paths become columns; without paths, all scalar keys of all rows do, nested ones dotted."""
     from ..functions.scalar import json_path
 
     s = coerce.text(Compiler(df).field(field))
     if not paths:
-        paths = [(p, p) for p in json_keys(df, s, sample)]
+        paths = [(p, p) for p in json_keys(df, s, limit)]
     return df.withColumns({alias: F.get_json_object(s, json_path(p)) for p, alias in paths}) if paths else df
 
 
-def json_keys(df: DataFrame, s: Column, sample: int = 1000) -> list[str]:
-    """Dotted paths of the scalars (and arrays) in the first `sample` documents, sorted."""
-    rows = df.select(s.alias("s")).where("s is not null").limit(sample)
-    schema = rows.agg(F.schema_of_variant_agg(F.try_parse_json(F.col("s"))).alias("s")).first()
+def json_keys(df: DataFrame, s: Column, limit: int = 10_000) -> list[str]:
+    """Dotted paths of the scalars (and arrays) in all documents that are objects, sorted."""
+    rows = df.select(F.try_parse_json(s).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT<"))
+    schema = rows.agg(F.schema_of_variant_agg("v").alias("s")).first()
     found = schema["s"] if schema else None
-    return sorted(_variant_paths(found)) if found and found.startswith("OBJECT<") else []
+    paths = sorted(_variant_paths(found)) if found and found.startswith("OBJECT<") else []
+    if len(paths) > limit:
+        raise QueryError(f"the documents have more than {limit} different keys")
+    return paths
 
 
 def _variant_paths(text: str, prefix: str = "") -> list[str]:
