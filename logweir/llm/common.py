@@ -10,12 +10,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many narrow rows (some tens of bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
+#: While a table is written: bytes of an Arrow batch and rows of a Parquet batch, so that long texts do not add up in memory.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +40,58 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold only here."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage and is computed once."""
+    """df as a table in the shared folder: it cuts lineage and is computed once. It goes when its scope or Spark ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, BATCHES):
+        df.write.parquet(path)
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written here are deleted at the end; what outlives them must have been written to a table by `outlives`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p, fs = _file_system(spark, path)
+            fs.delete(p, True)
+
+
+def outlives(df: DataFrame, tag: str) -> DataFrame:
+    """A written table of the scope around the innermost one."""
+    inner = _scopes.pop()
+    try:
+        return written(df, tag)
+    finally:
+        _scopes.append(inner)
+
+
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its row count is within the bound; otherwise as it is, for a shuffled join.
 

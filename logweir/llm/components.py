@@ -1,17 +1,24 @@
 """Connected components of a large graph by alternating large-star and small-star steps.
 
-Every step is a min-aggregate (combined before its shuffle) and one join, and writes its edges to the shared
-folder. Node ids are longs; a component's root is its smallest node.
+Partitions first contract their edges to spanning forests. Every step is a min-aggregate (combined before its shuffle)
+and one join, and writes its edges to the shared folder. Once a checked number of edges is left (ONE_TASK, some 32 MB),
+one task contracts them at once. Node ids are longs; a component's root is its smallest node.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import outlives, scratch, written
+
+
+#: Edges that one task contracts.
+ONE_TASK = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +69,23 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """node, root for every node that has an edge to another one (roots too). A written table.
 
     Loops, repeated and reversed edges are allowed; edges with a null end are left out.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
-    e = written(e.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-    state = None
-    while True:
-        new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new[0] == 0 or new == state:
-            break
-        state = new
-        e = written(_small(written(_large(e), "edges")), "edges")
-    star = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return written(star.unionAll(star.select(F.col("root").alias("node"), "root").distinct()), "components")
+    with scratch(edges.sparkSession):
+        e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
+        e = written(e.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        state = None
+        while True:
+            if e.count() <= one_task:
+                e = e.coalesce(1).mapInArrow(partial(_contract, chunk=one_task + 1), "u long, v long")
+                break
+            new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if new == state:
+                break
+            state = new
+            e = written(_small(written(_large(e), "edges")), "edges")
+        star = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return outlives(star.unionAll(star.select(F.col("root").alias("node"), "root").distinct()), "components")

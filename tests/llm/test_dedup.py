@@ -130,5 +130,7 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)]
     random.Random(4).shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
-    got = {r["node"]: r["root"] for r in components.components(df).collect()}
-    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+    for one_task in (-1, 40, components.ONE_TASK):
+        got = {r["node"]: r["root"] for r in components.components(df, one_task=one_task).collect()}
+        assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+    assert components.components(df.limit(0)).count() == 0
