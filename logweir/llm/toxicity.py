@@ -1,24 +1,28 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded, hash-chosen sample of labelled documents, near copies among them counted once. Terms that
-mark toxic examples (chi-squared against clean ones) are the features, words or beginnings of words (many languages
-form words by endings); their inverse document frequencies come from all documents. Every document is compared with all examples by the exact cosine of TF-IDF vectors over an
-inverted index with block maxima: blocks of examples are visited in order of their upper bounds until no block
-left can enter the K nearest. Neighbours vote with the square of their similarity; a logistic curve fitted to
-leave-one-out votes of the examples turns votes into calibrated scores. Nearest examples are given as evidence.
-
-Defined cases: a null or empty text has the score of a text without features; several labels of one id count as
-toxic if one of them is; without labelled rows of both kinds every score is 0; ids that are null are not learned from.
+Examples are a bounded, hash-chosen sample of labelled documents, near copies among them counted once. Every document
+is compared with all examples by the exact cosine of TF-IDF vectors over all words that two examples have, with inverse
+document frequencies from all documents. Plain TF-IDF does not tell what is toxic: rare words of a subject outweigh the few
+words that matter. So terms that mark toxic examples (chi-squared against clean ones; words, or beginnings of words, as many
+languages form words by endings) count in full, and all others by the factor BACKGROUND.
+
+The inverted index has blocks of alike examples. Lists of rare terms are added up first; with the block maxima of frequent
+terms they bound every similarity in a block, and a block is worked out only for texts whose K nearest it can still enter.
+Neighbours vote with the square of their similarity; a logistic curve fitted to leave-one-out votes of the examples turns
+votes into calibrated scores. Nearest examples are given as evidence.
+
+Defined cases: a null or empty text has the score of a text without neighbours; several labels of one id count as
+toxic if one of them is, rows that share an id are one example; without labelled rows of both kinds every score is 0; ids that are null are not learned from; equal
+similarities (to nine places) go by the examples' order in the index; very long texts are compared whole; equal texts have
+equal scores.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,12 +30,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of what is learned: examples of each label, features.
-EXAMPLES, FEATURES = 1500, 256
-#: A feature is in at least this many toxic examples, with at least this chi-squared.
-LEAST_EXAMPLES, LEAST_CHI2 = 5, 10.83
-#: Neighbours that vote; examples in a block; weight of the prior among the votes.
-K, BLOCK, PRIOR = 16, 256, 0.25
+#: Bound of what is learned: examples of each label.
+EXAMPLES = 1500
+#: A marking term is in at least this many toxic examples, with at least this chi-squared; weight of the other terms.
+LEAST_EXAMPLES, LEAST_CHI2, BACKGROUND = 5, 10.83, 0.1
+#: Neighbours that vote; examples in a block; texts compared at a time; weight of the prior among the votes.
+K, BLOCK, TEXTS, PRIOR = 16, 128, 256, 0.25
+#: A term is frequent if it is in one of so many examples.
+FREQUENT = 16
+#: Similarities are whole numbers of this part.
+PLACES = 10**9
 
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 
@@ -82,70 +90,114 @@ class Known:
         return out
 
 
+def arranged(vectors: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Order of the columns in which blocks are alike: halved again and again along the direction of the largest spread."""
+    def halves(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) <= block:
+            return [at]
+        x = vectors[:, at] - vectors[:, at].mean(axis=1, keepdims=True)
+        u = np.random.default_rng(0).normal(size=len(at))
+        for _ in range(12):
+            u = x.T @ (x @ u)
+            u /= np.linalg.norm(u) + 1e-300
+        at = at[np.argsort(u, kind="stable")]
+        cut = -(-len(at) // (2 * block)) * block
+        return halves(at[:cut]) + halves(at[cut:])
+
+    return np.concatenate(halves(np.arange(vectors.shape[1])))
+
+
 @dataclass
 class Index:
-    """Examples' normalised TF-IDF vectors by feature and block of BLOCK examples."""
+    """Examples' normalised vectors: rows of frequent terms (dense, maxima by block), lists of rare terms."""
 
-    idf: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray
+    votes: np.ndarray
+    row: np.ndarray
+    dense: np.ndarray
     maxima: np.ndarray
-    lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+    starts: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
     prior: float
     curve: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def build(cls, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, int]], prior: float) -> Index:
-        blocks = max(1, -(-len(ids) // BLOCK))
-        maxima, found = np.zeros((len(idf), blocks), np.float32), {}
-        for e, v in enumerate(vectors):
-            f, w = cls.vector(idf, v)
-            for i, x in zip(f.tolist(), w.tolist(), strict=True):
-                found.setdefault((i, e // BLOCK), []).append((e % BLOCK, x))
-                maxima[i, e // BLOCK] = max(maxima[i, e // BLOCK], x)
-        lists = {k: (np.array([a for a, _ in v]), np.array([b for _, b in v])) for k, v in found.items()}
+    def build(cls, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, cells: tuple[np.ndarray, np.ndarray, np.ndarray], prior: float) -> Index:
+        """cells: example, term and occurrences, an entry for each term of each example."""
+        e, f, n = cells
+        w = (1 + np.log(n)) * weight[f]
+        norm = np.sqrt(np.bincount(e, w * w, len(ids)))
+        w = w / np.maximum(norm, 1e-300)[e]
+        frequent = np.flatnonzero(np.bincount(f, minlength=len(weight)) * FREQUENT >= max(len(ids), 1))
+        row = np.full(len(weight), -1, np.int64)
+        row[frequent] = np.arange(len(frequent))
+        dense = np.zeros((len(frequent), len(ids)))
+        many = row[f] >= 0
+        dense[row[f[many]], e[many]] = w[many]
+        order = arranged(dense)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        dense = np.ascontiguousarray(dense[:, order])
+        maxima = np.maximum.reduceat(dense, np.arange(0, len(ids), BLOCK), axis=1)
+        few = ~many
+        sort = np.argsort(f[few], kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(f[few], minlength=len(weight)))])
         share = labels.mean()
-        weights = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
-        return cls(idf, ids, labels, weights, np.nextafter(maxima, np.float32(2)), lists, prior)
-
-    @staticmethod
-    def vector(idf: np.ndarray, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        f = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in f.tolist()], float))) * idf[f] if len(f) else np.zeros(0)
-        norm = np.sqrt((w * w).sum())
-        return f, w / norm if norm > 0 else w
-
-    def nearest(self, counts: dict[int, int], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine (the smaller position first among equals), exactly."""
-        f, q = self.vector(self.idf, counts)
-        if not len(f):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = q @ self.maxima[f]
-        at, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(at) == k and bounds[b] + 1e-6 < sims[-1]:
-                break
-            s = np.zeros(BLOCK)
-            for i, x in zip(f.tolist(), q.tolist(), strict=True):
-                if (got := self.lists.get((i, b))) is not None:
-                    s[got[0]] += x * got[1]
-            if without // BLOCK == b:
-                s[without % BLOCK] = 0
-            hit = np.flatnonzero(s > 0)
-            at, sims = np.concatenate([at, hit + b * BLOCK]), np.concatenate([sims, s[hit]])
-            order = np.lexsort((at, -sims))[:k]
-            at, sims = at[order], sims[order]
-        return at, sims
-
-    def vote(self, at: np.ndarray, sims: np.ndarray) -> float:
-        w = sims * sims * self.weights[at]
-        return float(((w * self.labels[at]).sum() + PRIOR * self.prior) / (w.sum() + PRIOR))
-
-    def calibrate(self, vectors: list[dict[int, int]]) -> None:
+        votes = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
+        return cls(weight, ids[order], labels[order], votes[order], row, dense, maxima, starts, place[e[few]][sort], w[few][sort], prior)
+
+    def nearest(self, texts: list[dict[int, int]], k: int = K, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Per text (occurrences by term) the k examples of the largest cosine, exactly: positions and cosines, 0 where there are fewer."""
+        m, n = len(texts), len(self.ids)
+        size = [len(t) for t in texts]
+        doc = np.repeat(np.arange(m), size)
+        f = np.fromiter((i for t in texts for i in t), np.int64, len(doc))
+        w = (1 + np.log(np.fromiter((x for t in texts for x in t.values()), float, len(doc)))) * self.weight[f]
+        w /= np.maximum(np.sqrt(np.bincount(doc, w * w, m)), 1e-300)[doc]
+        many = self.row[f] >= 0
+        q = np.zeros((m, len(self.dense)))
+        q[doc[many], self.row[f[many]]] = w[many]
+        doc, f, w = doc[~many], f[~many], w[~many]
+        size = self.starts[f + 1] - self.starts[f]
+        at = np.repeat(self.starts[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sims = np.bincount(np.repeat(doc, size) * n + self.at[at], np.repeat(w, size) * self.value[at], m * n).reshape(m, n)
+        edges = np.arange(0, n, BLOCK)
+        bounds = np.maximum.reduceat(sims, edges, axis=1) + q @ self.maxima
+        # an entry is the similarity, then the position from the end, in one number
+        base = 1 << n.bit_length()
+        top = np.zeros((m, k), np.int64)
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
+            need = np.flatnonzero((bounds[:, b] * PLACES + 1 >= np.maximum(1, top[:, 0] // base)) & (bounds[:, b] > 0))
+            if not len(need):
+                continue
+            a, z = int(edges[b]), min(n, int(edges[b]) + BLOCK)
+            s = np.rint((sims[need, a:z] + q[need] @ self.dense[:, a:z]) * PLACES).astype(np.int64)
+            if without is not None:
+                s[without[need][:, None] == np.arange(a, z)] = 0
+            s = np.where(s > 0, s * base + (base - 1 - np.arange(a, z)), 0)
+            both = np.concatenate([top[need], s], axis=1)
+            cut = both.shape[1] - k
+            top[need] = np.sort(np.partition(both, cut, axis=1)[:, cut:], axis=1)
+        top = top[:, ::-1]
+        return np.where(top > 0, base - 1 - top % base, 0), top // base / PLACES
+
+    def vote(self, at: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        w = sims * sims * self.votes[at]
+        return ((w * self.labels[at]).sum(axis=1) + PRIOR * self.prior) / (w.sum(axis=1) + PRIOR)
+
+    def calibrate(self, cells: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> None:
         """Two parameters by Newton's method with a small ridge, examples weighted to the labels' true shares."""
-        v = np.array([self.vote(*self.nearest(x, without=e)) for e, x in enumerate(vectors)])
-        x, w = np.stack([_logit(v), np.ones(len(v))], axis=1), self.weights
+        texts: list[dict[int, int]] = [{} for _ in ids]
+        for e, f, n in zip(*(c.tolist() for c in cells), strict=True):
+            texts[e][f] = n
+        place = {i: p for p, i in enumerate(self.ids.tolist())}
+        texts = [t for _, t in sorted(zip((place[i] for i in ids.tolist()), texts, strict=True), key=lambda x: x[0])]
+        v = [self.vote(*self.nearest(texts[i : i + TEXTS], without=np.arange(i, min(len(texts), i + TEXTS)))) for i in range(0, len(texts), TEXTS)]
+        v = np.concatenate(v)
+        x, w = np.stack([_logit(v), np.ones(len(v))], axis=1), self.votes
         t = np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
@@ -158,10 +210,10 @@ class Index:
         if t[0] > 0:  # more toxic votes never mean a lower score
             self.curve = (float(t[0]), float(t[1]))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        at, sims = self.nearest(counts)
+    def score(self, texts: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, sims = self.nearest(texts)
         a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * _logit(np.array(self.vote(at, sims))) + b, -30, 30)))), at, sims
+        return 1 / (1 + np.exp(-np.clip(a * _logit(self.vote(at, sims)) + b, -30, 30))), at, sims
 
 
 def _logit(v: np.ndarray) -> np.ndarray:
@@ -218,72 +270,80 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Index, list[
     sizes = Counter(y for _, y, _ in heads)
     if len(sizes) < 2:
         return None
-    ids = spark.createDataFrame([(i,) for i, _, _ in heads], "id long")
-    cells = seen.join(F.broadcast(ids), "id", "left_semi").select("id", "toxic", F.explode(F.arrays_zip("terms", "counts")).alias("c")).select("id", "toxic", F.col("c.terms").alias("term"), F.col("c.counts").alias("n"))
-    a, m1, m0 = F.sum("toxic").cast("double"), float(sizes[1]), float(sizes[0])
-    per = cells.groupBy("term").agg(a.alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    n, miss = m1 + m0, (m1 - a) * b
-    chi2 = n * F.pow(a * (m0 - b) - miss, F.lit(2)) / (m1 * m0 * (a + b) * (n - a - b) + 1e-9)
-    top = per.where((a >= LEAST_EXAMPLES) & (a * m0 > b * m1)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(FEATURES)
-    names = [bytes(r["term"]) for r in top.select("term").collect()]
-    place = {t: i for i, t in enumerate(names)}
-    feats = spark.createDataFrame([(t, i) for t, i in place.items()], "term binary, f int")
-    vectors: dict[int, dict[int, int]] = {i: {} for i, _, _ in heads}
-    for r in cells.join(F.broadcast(feats), "term").select("id", "f", "n").collect():
-        vectors[r["id"]][r["f"]] = r["n"]
-    # beginnings of one word are in the same examples: one feature is enough
-    members: dict[int, list[int]] = {f: [] for f in range(len(names))}
-    for i, v in vectors.items():
-        for f in v:
-            members[f].append(i)
-    first: dict[frozenset, int] = {}
-    for f in sorted(members, key=lambda f: (len(names[f]), names[f])):
-        first.setdefault(frozenset(members[f]), f)
-    kept = sorted(first.values())
-    new = {f: j for j, f in enumerate(kept)}
-    names = [names[f] for f in kept]
-    place = {t: j for j, t in enumerate(names)}
-    vectors = {i: {new[f]: n for f, n in v.items() if f in new} for i, v in vectors.items()}
+    ids, labels_ = np.array([r[0] for r in heads]), np.array([r[1] for r in heads])
+    chosen = spark.createDataFrame([(i, e) for e, (i, _, _) in enumerate(heads)], "id long, e int")
+    cells = seen.join(F.broadcast(chosen), "id").select("e", "toxic", F.explode(F.arrays_zip("terms", "counts")).alias("c")).select("e", "toxic", F.col("c.terms").alias("term"), F.col("c.counts").alias("n"))
+    cells = common.written(cells.groupBy("e", "term").agg(F.max("toxic").alias("toxic"), F.sum("n").alias("n")), "toxic-cells")
+    names, marks, cells = _vocabulary(cells, float(sizes[1]), float(sizes[0]))
+    if not names:
+        return None
+    place = {t: f for f, t in enumerate(names)}
 
     def frequencies(batches):
         total, rows, known = np.zeros(len(names), np.int64), 0, Known(place)
         for b in batches:
             rows += b.num_rows
+            held = []
             for t in b.column(0):
                 if t.is_valid:
-                    for f in known(words(t.as_buffer().to_pybytes())):
-                        total[f] += 1
+                    held.extend(known(words(t.as_buffer().to_pybytes())))
+            total += np.bincount(np.array(held, np.int64), minlength=len(names))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(names), dtype=np.int32)), pa.array(np.concatenate([[rows], total]))], ["f", "n"])
 
-    df = {r["f"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(f, 0))) + 1e-3 for f in range(len(names))])
-    vs = [vectors[i] for i, _, _ in heads]
-    index = Index.build(idf, np.array([r[0] for r in heads]), np.array([r[1] for r in heads]), vs, shares[1] / (shares[0] + shares[1]))
-    index.calibrate(vs)
+    counted = docs.select("text").mapInArrow(frequencies, "f int, n long").where("n > 0").groupBy("f").agg(F.sum("n").alias("n"))
+    counted = common.written(counted, "toxic-frequencies").toArrow()
+    df = np.zeros(len(names) + 1, np.int64)
+    df[counted["f"].to_numpy() + 1] = counted["n"].to_numpy()
+    weight = (np.log((1 + df[0]) / (1 + df[1:])) + 1e-3) * np.where(marks, 1.0, BACKGROUND)
+    index = Index.build(weight, ids, labels_, cells, shares[1] / (shares[0] + shares[1]))
+    index.calibrate(cells, ids)
     return index, names
 
 
-def scorer(model: tuple[Index, list[bytes]] | None):
+def _vocabulary(cells: DataFrame, m1: float, m0: float) -> tuple[list[bytes], np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms, whether each marks toxic examples, and their cells (example, term, occurrences).
+
+    cells: e, toxic, term, n. Words of two examples at least and marking terms; of marking terms that are in the same
+    examples (beginnings of one word) the shortest.
+    """
+    spark = cells.sparkSession
+    per = cells.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"), F.sum(F.xxhash64("e").cast("decimal(38,0)")).cast("string").alias("held"))
+    a, b = F.col("a"), F.col("b")
+    n, miss = m1 + m0, (m1 - a) * b
+    chi2 = n * F.pow(a * (m0 - b) - miss, F.lit(2)) / (m1 * m0 * (a + b) * (n - a - b) + 1e-9)
+    per = per.withColumn("marks", (a >= LEAST_EXAMPLES) & (a * m0 > b * m1) & (chi2 >= LEAST_CHI2))
+    rows = per.where(F.col("marks") | ((a + b >= 2) & ~F.expr("endswith(term, X'2A')"))).select("term", "marks", "held").collect()
+    first: dict[tuple[bool, str], bytes] = {}
+    for t, m, held in sorted(((bytes(r["term"]), r["marks"], r["held"]) for r in rows), key=lambda r: (len(r[0]), r[0])):
+        first.setdefault((True, held) if m else (False, t.hex()), t)
+    kept = sorted((t, m) for (m, _), t in first.items())
+    names, marks = [t for t, _ in kept], np.array([m for _, m in kept], bool)
+    feats = common.written(spark.createDataFrame([(t, f) for f, t in enumerate(names)], "term binary, f int"), "toxic-terms") if names else None
+    if feats is None:
+        return names, marks, (np.zeros(0, np.int64),) * 3
+    got = cells.join(common.small(feats), "term").select("e", "f", "n").toArrow().sort_by([("e", "ascending"), ("f", "ascending")])
+    return names, marks, tuple(got[c].to_numpy().astype(np.int64) for c in ("e", "f", "n"))
+
+
+def scorer(spark, model: tuple[Index, list[bytes]] | None):
     """A column function: text -> struct of score and evidence, the three nearest examples."""
-    place = {t: i for i, t in enumerate(model[1])} if model else {}
-
-    @F.pandas_udf("score double, evidence array<struct<doc_id: bigint, toxic: int, similarity: double>>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Known(place)
-        for texts in batches:
-            rows, same = [], {}
-            for t in texts:
-                if model is None:
-                    rows.append((0.0, []))
-                    continue
-                c = known(words(t.encode("utf-8", "replace"))) if isinstance(t, str) else {}
-                key = frozenset(c.items())
-                if key not in same:
-                    s, at, sims = model[0].score(c)
-                    same[key] = (s, [{"doc_id": int(model[0].ids[i]), "toxic": int(model[0].labels[i]), "similarity": float(x)} for i, x in zip(at[:3], sims[:3], strict=True)])
-                rows.append(same[key])
-            yield pd.DataFrame(rows, columns=["score", "evidence"])
+    held = spark.sparkContext.broadcast((model[0], {t: f for f, t in enumerate(model[1])}) if model else None)
+    evidence = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())])
+
+    @F.arrow_udf("score double, evidence array<struct<doc_id: bigint, toxic: int, similarity: double>>")
+    def score(texts: pa.Array) -> pa.Array:
+        scores, lists = [], []
+        if held.value is None:
+            scores, lists = [np.zeros(len(texts))], [[]] * len(texts)
+        else:
+            index, place = held.value
+            known = Known(place)
+            for i in range(0, len(texts), TEXTS):
+                s, at, sims = index.score([known(words(t.as_buffer().to_pybytes())) if t.is_valid else {} for t in texts[i : i + TEXTS]])
+                scores.append(s)
+                for p, x in zip(at[:, :3].tolist(), sims[:, :3].tolist(), strict=True):
+                    lists.append([{"doc_id": int(index.ids[j]), "toxic": int(index.labels[j]), "similarity": y} for j, y in zip(p, x, strict=True) if y > 0])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(lists, pa.list_(evidence))], ["score", "evidence"])
 
     return score
 
@@ -292,6 +352,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     apart = common.held_out(5, 0)
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    score = scorer(fit(docs, labels, ~apart))
+    score = scorer(spark, fit(docs, labels, ~apart))
     r = docs.select("doc_id", apart.alias("held_out"), score("text").alias("p"))
     return r.select("doc_id", "held_out", "p.score", (F.col("p.score") >= 0.5).cast("int").alias("predicted"), "p.evidence")

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -68,19 +69,67 @@ def test_all_positions_count():
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(6)
-    idf = rng.uniform(0.5, 3, 30)
-    vs = [{int(f): int(rng.integers(1, 4)) for f in rng.choice(30, rng.integers(0, 8), replace=False)} for _ in range(500)]
-    index = toxicity.Index.build(idf, np.arange(500), rng.integers(0, 2, 500), vs, 0.2)
-    dense = np.zeros((500, 30))
-    for e, v in enumerate(vs):
-        f, w = index.vector(idf, v)
-        dense[e, f] = w
-    for v in vs[:60]:
-        f, q = index.vector(idf, v)
-        s = dense[:, f] @ q if len(f) else np.zeros(500)
-        order = [i for i in np.lexsort((np.arange(500), -np.round(s, 12))) if s[i] > 0][: toxicity.K]
-        at, sims = index.nearest(v)
-        assert np.allclose(sims, s[order]) and np.allclose(s[at], sims)
+    weight = rng.uniform(0.05, 3, 60)
+    vs = [{int(f): int(rng.integers(1, 4)) for f in rng.choice(60, rng.integers(0, 8), replace=False)} for _ in range(500)]
+    vs[7:9] = vs[5:7]  # ties
+    cells = tuple(np.array(c) for c in zip(*((e, f, n) for e, v in enumerate(vs) for f, n in v.items()), strict=True))
+    index = toxicity.Index.build(weight, np.arange(500), rng.integers(0, 2, 500), cells, 0.2)
+    assert 0 < len(index.dense) < 60 and sorted(index.ids) == list(range(500))
+    dense = np.zeros((500, 60))
+    for p, i in enumerate(index.ids.tolist()):
+        for f, n in vs[i].items():
+            dense[p, f] = (1 + np.log(n)) * weight[f]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    where = np.argsort(index.ids)
+    for without in (None, where[:120]):
+        at, sims = index.nearest(vs[:120], without=without)
+        for i in range(120):
+            s = np.rint(dense @ dense[where[i]] * 1e9) / 1e9
+            if without is not None:
+                s[without[i]] = 0
+            order = [p for p in np.lexsort((np.arange(500), -s)) if s[p] > 0][: toxicity.K]
+            assert sims[i, : len(order)].tolist() == s[order].tolist() and at[i, : len(order)].tolist() == order and not sims[i, len(order) :].any()
+    assert not toxicity.Index.nearest(index, [{}])[1].any()
+
+
+def test_query_against_plain_cosines(spark):
+    """Document frequencies, weights, neighbours and scores of the given tables from the texts themselves."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("the given tables are not here")
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    learn = ~toxicity.common.held_out(5, 0)
+    index, names = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), learn)
+    places = {t: f for f, t in enumerate(names)}
+
+    def vector(text):
+        v = np.zeros(len(names))
+        for w in re.findall(r"(?:[^\x00-\x7f]|[0-9A-Za-z])+", text.lower()):
+            for t in [w.encode(), *(w.encode()[:n] + b"*" for n in range(4, 9) if n < len(w.encode()))]:
+                if t in places:
+                    v[places[t]] += 1
+        return v
+
+    counts = np.stack([vector(t) for t in rows.values()])
+    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1e-3
+    marks = np.isclose(index.weight, idf)
+    assert np.allclose(index.weight, idf * np.where(marks, 1, toxicity.BACKGROUND))
+    v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * index.weight
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    at = {i: n for n, i in enumerate(rows)}
+    examples = v[[at[i] for i in index.ids.tolist()]]
+    got = {r["doc_id"]: r for r in toxicity.query(spark, sf).collect()}
+    some = 0
+    for i, n in at.items():
+        s = np.rint(examples @ v[n] * 1e9) / 1e9
+        order = np.lexsort((np.arange(len(s)), -s))[: toxicity.K]
+        w = s[order] ** 2 * index.votes[order]
+        vote = np.clip(((w * index.labels[order]).sum() + 0.25 * index.prior) / (w.sum() + 0.25), 1e-4, 1 - 1e-4)
+        want = 1 / (1 + np.exp(-(index.curve[0] * np.log(vote / (1 - vote)) + index.curve[1])))
+        assert abs(got[i]["score"] - want) < 1e-7
+        assert [(e["doc_id"], e["similarity"]) for e in got[i]["evidence"]] == [(int(index.ids[o]), float(s[o])) for o in order[:3] if s[o] > 0]
+        some += bool(got[i]["evidence"])
+    assert some > 0.9 * len(rows)
 
 
 def test_toxic_documents_are_found(spark):
@@ -97,11 +146,11 @@ def test_toxic_documents_are_found(spark):
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
     model = toxicity.fit(d, lab, learn)
-    got = {r["doc_id"]: r["p"] for r in d.select("doc_id", toxicity.scorer(model)("text").alias("p")).collect()}
+    got = {r["doc_id"]: r["p"] for r in d.select("doc_id", toxicity.scorer(spark, model)("text").alias("p")).collect()}
     assert np.mean([(got[i]["score"] >= 0.5) == bool(y) for i, y in labels]) > 0.97
     assert got[900]["score"] == got[901]["score"] < 0.5 <= got[None]["score"] and got[None]["evidence"][0]["toxic"] == 1
     assert toxicity.fit(d, lab.where("toxic = 0"), learn) is None and toxicity.fit(d.limit(0), lab, learn) is None
-    assert d.select(toxicity.scorer(None)("text").alias("p")).first()["p"]["score"] == 0.0
+    assert d.select(toxicity.scorer(spark, None)("text").alias("p")).first()["p"]["score"] == 0.0
 
 
 # chat formatting
@@ -127,6 +176,17 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(d.limit(0)).count() == 0
 
 
+def test_learned_texts_come_through_the_mask(spark):
+    rng = random.Random(17)
+    rows = [(0, i, rng.choice(["user", "assistant", "x"]), rng.choice(["", "é\\", "<|im_end|>", "a\nb", "𝄞" * 9])) for i in range(1500)] + [(1, 0, "assistant", "ü<|" * 200_000), (2, 0, "user", "q")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as formatted", "'y' as loss_runs", "'z' as learned")
+    f = chat_format.format_conversations(d)
+    got = {r["conv_id"]: r["learned"] for r in chat_format.learned_texts(f).collect()}
+    assert got == {c: [t for k, _, role, t in rows if k == c and role == "assistant"] for c in range(3)}
+    wrong = f.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct(r["length"].alias("length"), (~r["loss"]).alias("loss"))))
+    assert chat_format.learned_texts(wrong).where("conv_id = 2").first()["learned"][1] == "q"
+
+
 # personal data
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
