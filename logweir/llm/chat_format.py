@@ -13,7 +13,7 @@ A conversation is one output value, so its turns meet in one task whatever the e
 travel there, once, and no array grows step by step.
 
 Defined cases: null role and text are empty; null turns come first; a null conv_id is a conversation of its
-own; repeated rows are turns of their own; an empty table gives an empty result.
+own; repeated rows are turns of their own; very long texts stay whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from . import common
 START, PART, END = "<|im_start|>", "<|part|>", "<|im_end|>\n"
 #: The role whose texts are learned.
 LEARNED = "assistant"
+#: Runs that are cut out of one piece of the output.
+BLOCK = 256
 #: What conversation -1 of the query says in both its turns.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -74,11 +76,36 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", turns)
 
 
+def learned_texts(formatted: DataFrame) -> DataFrame:
+    """learned: the texts under the loss mask, cut out of `formatted` by `loss_runs`, without escapes.
+
+    The output is cut into pieces of BLOCK runs first, and only these into runs: finding a place in a string takes time
+    in proportion to the place, and an array that grows by one element is copied each time.
+    """
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("loss_runs") - 1) / BLOCK).cast("int")), lambda b: F.slice("loss_runs", b * BLOCK + 1, BLOCK))
+    total = lambda block: F.aggregate(block, zero, lambda n, r: n + r["length"])
+    none = F.array().cast("array<struct<at: bigint, length: bigint, runs: array<struct<length: bigint, loss: boolean>>>>")
+
+    def put(acc, block):
+        piece = F.struct(acc["at"].alias("at"), total(block).alias("length"), block.alias("runs"))
+        return F.struct((acc["at"] + piece["length"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def cut(acc, r):
+        text = unescape(acc["piece"].substr((acc["at"] + 1).cast("int"), r["length"].cast("int")))
+        return F.struct((acc["at"] + r["length"]).alias("at"), acc["piece"].alias("piece"), F.when(r["loss"], F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"))
+
+    placed = F.aggregate(blocks, F.struct(zero.alias("at"), none.alias("out")), put, lambda acc: acc["out"])
+    pieces = F.transform(placed, lambda p: F.struct(F.col("formatted").substr((p["at"] + 1).cast("int"), p["length"].cast("int")).alias("piece"), p["runs"].alias("runs")))
+    start = lambda p: F.struct(zero.alias("at"), p["piece"].alias("piece"), F.array().cast("array<string>").alias("out"))
+    return formatted.withColumn("learned", F.flatten(F.transform(pieces, lambda p: F.aggregate(p["runs"], start(p), cut, lambda acc: acc["out"]))))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
-    r = read_back(format_conversations(rows.unionAll(probe)))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    r = learned_texts(read_back(format_conversations(rows.unionAll(probe))))
+    loss = F.array_join("learned", "")
     all_ = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     r = r.select("conv_id", F.size("turns").cast("long").alias("n_turns"), all_.alias("all_"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "n_messages")
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
