@@ -2,17 +2,19 @@
 
 Words of documents and of license templates are compared by rolling 4-word hashes. Spark joins the documents'
 hashes to template positions; each joined pair votes for its diagonal (document position less template
-position); diagonals a few words apart are one band, as a word put in or left out shifts the rest; a band's span
-is verified word by word, and counts if it covers enough of the template.
+position); diagonals a few words apart are one band, as a word put in or left out shifts the rest. A band whose votes
+could cover LEAST of its template (a vote covers K words at most) is verified word by word, and counts if runs of K equal
+words at least do cover that much.
 
-The templates are fixed, so their table is of fixed size. A k-gram with a word that no template has cannot join
-anything, and does not leave the scan. A scan's row numbers tell apart rows with equal ids.
+The templates are fixed, so their table is of fixed size. Only stretches of K or more words that templates have leave the
+scan: no other words can stand in a K-gram of a template, or in a verified run. A scan's row numbers tell apart rows with
+equal ids.
 
 Base: places where fixed phrases stand. Score: 1 where a phrase stands, else the largest share of a template
 that was verified.
 
 Defined cases: a null text has no words; a text without hits has empty labels and score 0; repeated rows are
-judged row by row; an empty table gives an empty result.
+judged row by row; very long texts cost linear time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,8 +44,8 @@ TEMPLATES = {
 }
 
 K = 4
-#: Diagonals at most this far apart are one band; words without a hit that part two stretches of a document.
-BAND, PART = 3, 64
+#: Diagonals at most this far apart are one band.
+BAND = 3
 #: Share of a template's words that a band must cover.
 LEAST = 0.6
 
@@ -59,13 +61,18 @@ def _vocabulary() -> dict[bytes, int]:
 
 
 def grams(ids: np.ndarray) -> np.ndarray:
-    """Rolling hash of K word numbers (distinct for distinct words); 0 where a word is in no template."""
+    """Rolling hash of K word numbers, distinct for distinct words."""
     n = max(0, len(ids) - K + 1)
-    total, whole = np.zeros(n, np.int64), np.ones(n, bool)
+    total = np.zeros(n, np.int64)
     for i in range(K):
         total = total * 8192 + ids[i : i + n]
-        whole &= ids[i : i + n] > 0
-    return np.where(whole, total, 0)
+    return total
+
+
+def runs(live: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of K or more that hold."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], live.view(np.int8), [0]])))
+    return [(s, e) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if e - s >= K]
 
 
 def base(tokens: list[bytes]) -> tuple[list[int], list[str]]:
@@ -73,9 +80,10 @@ def base(tokens: list[bytes]) -> tuple[list[int], list[str]]:
     line, starts, labels = b" " + b" ".join(tokens) + b" ", [], set()
     for phrase, label in PHRASES.items():
         p = b" " + phrase.encode() + b" "
-        at = line.find(p)
+        at, seen, word = line.find(p), 0, 0
         while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+            word, seen = word + line.count(b" ", seen, at), at
+            starts.append(word)
             labels.add(label)
             at = line.find(p, at + 1)
     return sorted(starts), sorted(labels)
@@ -83,8 +91,7 @@ def base(tokens: list[bytes]) -> tuple[list[int], list[str]]:
 
 def _scan(docs: DataFrame) -> DataFrame:
     vocabulary = _vocabulary()
-    known = np.unique(np.concatenate([grams(np.array([vocabulary[w] for w in words(t.encode())])) for t in TEMPLATES.values()]))
-    region = pa.struct([("start", pa.int32()), ("ids", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    region = pa.struct([("start", pa.int32()), ("ids", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))])
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string())), ("regions", pa.list_(region))])
 
     def scan(batches):
@@ -96,33 +103,25 @@ def _scan(docs: DataFrame) -> DataFrame:
                 w = words(t.as_buffer().to_pybytes()) if t.is_valid else []
                 starts, labels = base(w)
                 ids = np.array([vocabulary.get(x, 0) for x in w], np.int64)
-                g = grams(ids)
-                hit = np.flatnonzero(g)
-                hit = hit[np.isin(g[hit], known)]
-                regions = []
-                if len(hit):
-                    for h in np.split(hit, np.flatnonzero(np.diff(hit) > PART) + 1):
-                        a = int(h[0])
-                        regions.append({"start": a, "ids": ids[a : int(h[-1]) + K].tolist(), "grams": g[h].tolist(), "places": (h - a).tolist()})
+                regions = [{"start": a, "ids": ids[a:z], "grams": grams(ids[a:z])} for a, z in runs(ids > 0)]
                 rows.append((uid, doc_id, len(w), len(starts), starts[0] if starts else None, starts[-1] if starts else None, labels, regions))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    kind = "array<struct<start: int, ids: array<int>, grams: array<bigint>, places: array<int>>>"
+    kind = "array<struct<start: int, ids: array<int>, grams: array<bigint>>>"
     return common.written(common.id_and_text(docs).mapInArrow(scan, f"uid long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, regions {kind}"), "license-light")
 
 
-def verify(ids: np.ndarray, template: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
-    """(first word, end, template words covered) of a band: words equal on one of its diagonals, in runs of K at least."""
-    covered, lo, hi = np.zeros(len(template), bool), len(ids), 0
+def verify(places: np.ndarray, ids: np.ndarray, template: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
+    """(first word, end, template words covered) of a band. The document has the word ids[i] at places[i], ascending."""
+    covered, lo, hi = np.zeros(len(template), bool), 1 << 62, 0
     for d in diagonals:
-        a, z = max(0, d), min(len(ids), d + len(template))
-        same = ids[a:z] == template[a - d : z - d]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if e - s >= K:
-                covered[a + s - d : a + e - d] = True
-                lo, hi = min(lo, a + s), max(hi, a + e)
+        a, z = np.searchsorted(places, (d, d + len(template)))
+        same, at = np.zeros(len(template), bool), places[a:z] - d
+        same[at] = ids[a:z] == template[at]
+        for s, e in runs(same):
+            covered[s:e] = True
+            lo, hi = min(lo, s + d), max(hi, e + d)
     return lo, hi, int(covered.sum())
 
 
@@ -131,23 +130,26 @@ def find(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     vocabulary = _vocabulary()
     templates = {label: np.array([vocabulary[w] for w in words(t.encode())]) for label, t in TEMPLATES.items()}
-    places = spark.createDataFrame([(int(g), label, p) for label, t in templates.items() for p, g in enumerate(grams(t).tolist())], "gram long, license string, at int")
+    places = spark.createDataFrame([(int(g), label, p, len(t)) for label, t in templates.items() for p, g in enumerate(grams(t).tolist())], "gram long, license string, at int, size int")
     light = _scan(docs)
-    regions = light.where(F.size("regions") > 0).select("uid", F.posexplode("regions").alias("r", "region"))
-    votes = regions.select("uid", "r", F.explode(F.arrays_zip("region.grams", "region.places")).alias("h")).select("uid", "r", F.col("h.grams").alias("gram"), F.col("h.places").alias("place"))
-    diagonals = votes.join(F.broadcast(places), "gram").groupBy("uid", "r", "license", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    bands = diagonals.groupBy("uid", "r", "license").agg(F.array_sort(F.collect_list("diagonal")).alias("diagonals"))
-    full = bands.join(regions, ["uid", "r"]).select("uid", "license", "diagonals", "region.start", "region.ids")
+    held = light.where(F.size("regions") > 0)
+    votes = held.select("uid", F.explode("regions").alias("r")).select("uid", "r.start", F.posexplode("r.grams").alias("i", "gram"))
+    diagonals = votes.join(F.broadcast(places), "gram").groupBy("uid", "license", "size", (F.col("start") + F.col("i") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    along = Window.partitionBy("uid", "license").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > BAND, F.lit(True)).cast("int")
+    bands = diagonals.withColumn("far", far).withColumn("band", F.sum("far").over(along)).groupBy("uid", "license", "size", "band").agg(F.sum("votes").alias("votes"), F.array_sort(F.collect_list("diagonal")).alias("diagonals"))
+    bands = common.written(bands.where(F.col("votes") * K >= F.lit(least) * F.col("size")).select("uid", "license", "diagonals"), "license-bands")
+    full = held.join(common.small(bands), "uid").select("uid", "license", "diagonals", F.transform("regions", lambda r: F.struct(r["start"].alias("start"), r["ids"].alias("ids"))).alias("regions"))
 
     def check(batches):
         for b in batches:
             rows = []
-            for uid, license_, ds, start, ids in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                t, x, ds = templates[license_], np.array(ids), np.array(ds)
-                for band in np.split(ds, np.flatnonzero(np.diff(ds) > BAND) + 1):
-                    lo, hi, n = verify(x, t, band.tolist())
-                    if n >= least * len(t):
-                        rows.append((uid, license_, start + lo, start + hi, n / len(t)))
+            for uid, license_, ds, regions in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                t = templates[license_]
+                at = np.concatenate([np.arange(r["start"], r["start"] + len(r["ids"])) for r in regions])
+                lo, hi, n = verify(at, np.concatenate([r["ids"] for r in regions]), t, ds)
+                if n >= least * len(t):
+                    rows.append((uid, license_, lo, hi, n / len(t)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["uid", "license", "first", "end", "cover"])
 
