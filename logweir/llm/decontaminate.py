@@ -1,21 +1,29 @@
 """Benchmark decontamination by spaced seeds.
 
 Texts become word sequences (ASCII letters and digits and all non-ASCII characters, in lower case). Fixed masks
-select seven of the words in a span and ignore the others, so a replaced word spoils only the seeds that select
-it. Seeds of documents and benchmark items are joined on their hashes; around each joined hit the two sequences
-are laid over each other without gaps, and the overlap is extended while replacements stay rare.
+select some of the words in a span and ignore the others, so a replaced word spoils only the seeds that select
+it. Seeds of documents and benchmark items are joined on their hashes; on each diagonal (the document laid over the item
+without gaps) that a hit names, the stretch with the most equal words among those of IDENTITY is the overlap.
+
+Which masks an item has depends on its words: from LONG words on, seven selected words; from MIDDLE on, five; below, all of
+the item's words, which then must stand there unchanged; items of fewer than LEAST_WORDS say nothing and are not searched.
+So nine of ten overlaps that count share a seed, whatever the item's length and wherever the replaced words are
+(the tests measure it against all diagonals).
 
 The scan of the documents sends on only seeds that pass a Bloom filter of the benchmark's seeds, with three places
-each among 2^25 (4 MB) whatever the benchmark's size: a larger benchmark lets more seeds through to the join,
-and none is lost. Seeds that pass leave the scan with the words around them, so texts are read once and not shuffled.
+each. It has 16 bits a seed, 4 MB at least and MOST_BITS at most: beyond that more seeds go to the join, and none is lost.
+Seeds that pass leave the scan with the words around them, so texts are read once and not shuffled; to be verified, a
+diagonal takes along the words that lie over the item, not the stretch it was found in.
 
-Defined cases: null texts have no words; an item of fewer than seven words has no seeds and is not searched;
-equal items count as the one with the smallest item_id; documents with repeated ids are judged row by row.
+Defined cases: null texts have no words; equal items count as the one with the smallest item_id; among overlaps of a
+document with equally many equal words the shortest counts, then the one with the smallest item_id, then the first;
+documents with repeated ids are judged row by row; very long texts are searched whole, and only stretches with hits leave the scan.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -24,16 +32,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed masks: 1 selects a word.
-MASKS = ("1111111", "1101101011", "1011001100101", "1110000101011")
+#: Fixed masks: 1 selects a word. For long items, for middle ones, and for short ones of 3 to 7 words.
+MASKS = ("1111111", "1101101011", "1011001100101", "1110000101011", "11111", "110111", "1101011", "111", "1111", "11111", "111111", "1111111")
+#: Words of an item from which its masks change.
+LONG, MIDDLE, LEAST_WORDS = 16, 8, 3
 #: An overlap counts from this many equal words, or this share of the item's words if they are fewer.
 MIN_WORDS, MIN_SHARE = 13, 0.8
-#: At least this share of an overlap's words are equal.
-IDENTITY = 0.8
-#: Score of a replaced word; extension stops when the score falls DROP below its best.
-REPLACED, DROP = -2, 8
-#: Words kept on either side of a hit, places in the filter (as a power of two), and where in a seed they are read.
-AROUND, BITS, SHIFTS = 128, 25, (39, 14, 0)
+#: At least this share of an overlap's words are equal, as a fraction of whole numbers.
+IDENTITY = (4, 5)
+#: Words kept on either side of a hit; the filter's places, as powers of two; seeds have PER_SEED each.
+AROUND, LEAST_BITS, MOST_BITS, PER_SEED = 128, 25, 30, 16
+#: Multipliers of a seed's places in the filter.
+_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 _SEED_STEP = 0x9E3779B97F4A7C15
@@ -60,45 +70,39 @@ def seeds(tokens: np.ndarray, mask: int) -> np.ndarray:
     return total ^ (total >> np.uint64(32))
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, at: int, span: tuple[int, int]) -> tuple[int, int, int]:
-    """(start in item, end, equal words) of the extension around item[span], where item[0] lies on doc[at]."""
-    lo, hi = max(0, -at), min(len(item), len(doc) - at)
-    same = item[lo:hi] == doc[at + lo : at + hi]
-    score = np.where(same, 1, REPLACED)
-
-    def reach(s: np.ndarray) -> int:
-        if not len(s):
-            return 0
-        run = np.cumsum(s)
-        top = np.maximum.accumulate(np.maximum(run, 0))
-        fallen = np.flatnonzero(top - run > DROP)
-        run = run[: fallen[0]] if len(fallen) else run
-        return int(run.argmax()) + 1 if len(run) and run.max() > 0 else 0
-
-    a, b = max(span[0], lo) - lo, min(span[1], hi) - lo
-    start, end = a - reach(score[:a][::-1]), b + reach(score[b:])
-    return lo + start, lo + end, int(same[start:end].sum())
+def masks_of(n: int) -> range:
+    """The masks of an item of n words."""
+    if n >= LONG:
+        return range(4)
+    if n >= MIDDLE:
+        return range(4, 7)
+    return range(4 + n, 5 + n) if n >= LEAST_WORDS else range(0)
 
 
 def counts(equal: int, length: int, item_words: int) -> bool:
-    return equal >= min(MIN_WORDS, MIN_SHARE * item_words) and equal >= IDENTITY * length
+    if item_words < MIDDLE:
+        return equal == length == item_words
+    return equal >= min(MIN_WORDS, MIN_SHARE * item_words) and equal * IDENTITY[1] >= length * IDENTITY[0]
 
 
-def overlaps(doc: np.ndarray, item: np.ndarray, at: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """All overlaps of one diagonal that count, from its hits (item position, mask).
+def overlap(same: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal words) of the stretch of IDENTITY with the most equal words, the shortest and first of those.
 
-    A hit within an overlap that counts adds nothing. One within an overlap that does not is extended all the same,
-    as a part of that overlap may count.
+    With f = 5 * equal - 4 * words, counted from the left, a stretch is one whose f does not fall from start to end.
     """
-    found: list[tuple[int, int, int]] = []
-    for pos, mask in sorted(hits):
-        end = pos + len(MASKS[mask])
-        if any(a <= pos and end <= z for a, z, _ in found):
-            continue
-        new = overlap(doc, item, at, (pos, end))
-        if counts(new[2], new[1] - new[0], len(item)):
-            found.append(new)
-    return found
+    num, den = IDENTITY
+    equal = np.concatenate([[0], np.cumsum(same)])
+    f = den * equal - num * np.arange(len(equal))
+    highest = np.maximum.accumulate(f[::-1])[::-1]
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0, 0
+    # the last end with f no lower than at the start; what lies behind the last equal word there adds nothing
+    ends = np.searchsorted(-highest, -f[starts], side="right") - 1
+    n = equal[ends] - equal[starts]
+    last = np.append(starts, len(same))[equal[ends] - 1] + 1
+    best = np.lexsort((starts, last - starts, -n))[0]
+    return int(starts[best]), int(last[best]), int(n[best])
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,7 +120,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
         for b in batches:
             for key, toks in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = toks.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for m in range(len(MASKS)):
+                for m in masks_of(len(t)):
                     s = seeds(t, m)
                     if len(s):
                         n = len(s)
@@ -125,27 +129,44 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return common.written(items.select("item_key", "item").mapInArrow(scan, "seed long, item_key long, item_pos int, mask int"), "bench-seeds")
 
 
-def _filter(known: DataFrame) -> np.ndarray:
-    """The Bloom filter's bytes. Bits are combined by byte on the executors; at most 2^22 rows come to the driver."""
-    place = F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND(F.lit((1 << BITS) - 1)) for s in SHIFTS]))
-    bits = known.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("p").bitwiseAND(F.lit(7)).cast("int"))).alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    out[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.uint8)
+def places(s: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(s * np.uint64(m)) >> np.uint64(64 - bits) for m in _PLACES]
+
+
+def _filter(known: DataFrame, block: int = 16) -> np.ndarray:
+    """The Bloom filter's bytes, put together in blocks of 2^block places on the executors."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (PER_SEED * known.count()).bit_length()))
+
+    def scan(batches):
+        for b in batches:
+            s = np.unique(b.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
+            p = np.unique(np.concatenate(places(s, bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(block)).astype(np.int32)), pa.array((p & np.uint64((1 << block) - 1)).astype(np.int32))], ["block", "place"])
+
+    def fill(key, pdf):
+        on = np.zeros(1 << block, np.uint8)
+        on[pdf["place"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "bytes": [np.packbits(on, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in known.select("seed").mapInArrow(scan, "block int, place int").distinct().groupBy("block").applyInPandas(fill, "block int, bytes binary").collect():
+        at = r["block"] << (block - 3)
+        out[at : at + (1 << (block - 3))] = np.frombuffer(r["bytes"], np.uint8)
     return out
 
 
 def passing(s: np.ndarray, filter_: np.ndarray) -> np.ndarray:
     """Positions of the seeds that may be known."""
-    at = np.arange(len(s))
-    for shift in SHIFTS:
-        p = (s[at] >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+    at, bits = np.arange(len(s)), len(filter_).bit_length() + 2
+    for m in _PLACES:
+        p = (s[at] * np.uint64(m)) >> np.uint64(64 - bits)
         at = at[(filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
     return at
 
 
-def _regions(docs: DataFrame, bitmap) -> DataFrame:
+def _regions(docs: DataFrame, bitmap, masks: list[int]) -> DataFrame:
     """A row for each stretch of a document with seeds that pass the filter: its words and the seeds, by place in it."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def scan(batches):
         row = TaskContext.get().partitionId() << 40
@@ -156,9 +177,10 @@ def _regions(docs: DataFrame, bitmap) -> DataFrame:
                 row += 1
                 if not t.is_valid:
                     continue
-                toks = words(t.as_buffer().to_pybytes())
-                found, at = [], []
-                for m in range(len(MASKS)):
+                text = t.as_buffer().to_pybytes()
+                toks = words(text)
+                found, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for m in masks:
                     s = seeds(toks, m)
                     hit = passing(s, place)
                     found.append(s[hit])
@@ -166,55 +188,59 @@ def _regions(docs: DataFrame, bitmap) -> DataFrame:
                 at = np.concatenate(at)
                 if not len(at):
                     continue
+                key = int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
                 order = np.argsort(at, kind="stable")
                 at, found = at[order], np.concatenate(found)[order]
                 for g in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > AROUND) + 1):
                     a, z = max(0, int(at[g[0]]) - AROUND), min(len(toks), int(at[g[-1]]) + 16 + AROUND)
-                    out.append((row, doc_id, a, len(toks), toks[a:z].view(np.int64), found[g].view(np.int64), (at[g] - a).astype(np.int32)))
+                    out.append((row, doc_id, key, a, len(toks), toks[a:z].view(np.int64), found[g].view(np.int64), (at[g] - a).astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    t = common.id_and_text(docs).mapInArrow(scan, "uid long, doc_id long, start int, n_words int, tokens array<long>, seeds array<long>, places array<int>")
+    t = common.id_and_text(docs).mapInArrow(scan, "uid long, doc_id long, key long, start int, n_words int, tokens array<long>, seeds array<long>, places array<int>")
     return common.written(t.withColumn("region", F.struct("uid", "start")), "bench-regions")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document row with an overlap: uid, doc_id, n_words, and its best overlap: item_id, doc_start, n_aligned, n_equal."""
+    """Per document row with an overlap: uid, doc_id, key (the text's XXH64), n_words, and its best overlap: item_id, doc_start, n_aligned, n_equal."""
     spark = docs.sparkSession
     items = _items(benchmark, item_id, item_text)
     known = _item_seeds(items)
-    regions = _regions(docs, spark.sparkContext.broadcast(_filter(known)))
+    masks = sorted(r["mask"] for r in known.select("mask").distinct().collect())
+    regions = _regions(docs, spark.sparkContext.broadcast(_filter(known)), masks)
 
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("region", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
-    joined = hits.join(common.small(known), "seed")
-    diagonal = joined.groupBy("region", "item_key", (F.col("place") - F.col("item_pos")).alias("at")).agg(F.collect_list(F.struct("item_pos", "mask")).alias("hits"))
-    full = diagonal.join(regions.select("region", "uid", "doc_id", "start", "n_words", "tokens"), "region").join(common.small(items), "item_key")
+    joined = hits.join(common.small(known.select("seed", "item_key", "item_pos")), "seed")
+    diagonal = joined.select("region", "item_key", (F.col("place") - F.col("item_pos")).alias("at")).distinct()
+    over = F.slice("tokens", F.greatest("at", F.lit(0)) + 1, F.greatest(F.size("item") + F.least("at", F.lit(0)), F.lit(0))).alias("over")
+    full = diagonal.join(regions.select("region", "uid", "doc_id", "key", "start", "n_words", "tokens"), "region").join(common.small(items), "item_key")
 
     def check(batches):
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int32()), ("item_id", pa.int64()), ("doc_start", pa.int32()), ("n_aligned", pa.int32()), ("n_equal", pa.int32())])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int32()), ("item_id", pa.int64()), ("doc_start", pa.int32()), ("n_aligned", pa.int32()), ("n_equal", pa.int32())])
         for b in batches:
             rows = []
-            uid, doc_id, n_words, item_ids, start, at, pos, mask = (b.column(i).to_pylist() for i in range(8))
-            for i, (doc, item) in enumerate(zip(b.column(8), b.column(9), strict=True)):
+            uid, doc_id, key, n_words, item_ids, start, at = (b.column(i).to_pylist() for i in range(7))
+            for i, (doc, item) in enumerate(zip(b.column(7), b.column(8), strict=True)):
                 d, t = doc.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False)
-                for a, z, equal in overlaps(d, t, at[i], list(zip(pos[i], mask[i], strict=True))):
-                    rows.append((uid[i], doc_id[i], n_words[i], item_ids[i], start[i] + at[i] + a, z - a, equal))
+                skipped = max(0, -at[i])
+                a, z, equal = overlap(d == t[skipped : skipped + len(d)])
+                if counts(equal, z - a, len(t)):
+                    rows.append((uid[i], doc_id[i], key[i], n_words[i], item_ids[i], start[i] + max(0, at[i]) + a, z - a, equal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    found = full.select("uid", "doc_id", "n_words", "item_id", "start", "at", "hits.item_pos", "hits.mask", "tokens", "item").mapInArrow(check, "uid long, doc_id long, n_words int, item_id long, doc_start int, n_aligned int, n_equal int")
+    found = full.select("uid", "doc_id", "key", "n_words", "item_id", "start", "at", over, "item").mapInArrow(check, "uid long, doc_id long, key long, n_words int, item_id long, doc_start int, n_aligned int, n_equal int")
     best = F.max(F.struct("n_equal", -F.col("n_aligned"), -F.coalesce("item_id", F.lit(0)), -F.col("doc_start"), "item_id", "doc_start", "n_aligned")).alias("b")
-    return found.groupBy("uid", "doc_id", "n_words").agg(best).select("uid", "doc_id", "n_words", "b.item_id", "b.doc_start", "b.n_aligned", "b.n_equal")
+    return found.groupBy("uid", "doc_id", "key", "n_words").agg(best).select("uid", "doc_id", "key", "n_words", "b.item_id", "b.doc_start", "b.n_aligned", "b.n_equal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents in which a benchmark item was found. Columns as they are.
-
-    Rows that share a doc_id with a contaminated row go with it.
-    """
-    gone = common.written(find(docs, benchmark).select(F.col("doc_id").alias("__keep_gone")).distinct(), "bench-gone")
-    return docs.join(common.small(gone), docs["doc_id"].eqNullSafe(F.col("__keep_gone")), "left_anti")
+    """docs without the documents in which a benchmark item was found. Columns as they are. Rows of one id go by their texts."""
+    with common.scratch(docs.sparkSession):
+        gone = common.outlives(find(docs, benchmark).select(F.col("doc_id").alias("__keep_gone"), F.col("key").alias("__keep_key")).distinct(), "bench-gone")
+    same = docs["doc_id"].eqNullSafe(F.col("__keep_gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__keep_key"))
+    return docs.join(common.small(gone), same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("uid")
+    return find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("uid", "key")
