@@ -14,7 +14,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,15 +212,15 @@ def fit(docs: DataFrame, learn: Column) -> Network | None:
 def scorer(net: Network | None):
     """A column function: text -> struct of lang_pred and score."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        raw = [t.encode("utf-8", "replace") if isinstance(t, str) else None for t in texts]
+    @F.arrow_udf("lang_pred string, score double")
+    def score(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for i in range(0, len(raw), 500):
-            a, b = predict(net, raw[i : i + 500])
+        for i in range(0, len(texts), 256):
+            part = texts[i : i + 256]
+            a, b = predict(net, [t.as_buffer().to_pybytes() if t.is_valid else None for t in part])
             langs += a
             scores.append(b)
-        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang_pred", "score"])
 
     return score
 
