@@ -1,24 +1,28 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
 Base: four kinds of spans by fixed patterns. Their values are the protected entities. The method estimates from
-the whole corpus how much a term near an entity discloses it: with n texts, n(e) with the entity, n(t) with the
-term and n(t, e) with the term near the entity,
+the whole corpus how much a term discloses an entity: with n texts, n(e) with the entity, n(t) with the term and n(t, e)
+with both, wherever in the text they stand,
 
     disclosure(t, e) = log(n(t, e) n / (n(t) n(e))) / log(n / n(e))
 
 which is the pointwise mutual information as a share of the entity's information; 1 means that the term occurs
-only with the entity. Terms at GENERALISE or above are spans of kind ``term`` wherever they stand, and are
-replaced by a placeholder; at REMOVE or above they are removed.
+only with the entity. Terms (words of LETTERS letters or more) at GENERALISE or above are spans of kind ``term`` wherever they
+stand, and are replaced by a placeholder; at REMOVE or above they are removed.
 
-Equal texts count once in all figures. A pair needs SUPPORT different texts, which keeps chance meetings out. Texts
-are scanned once for the base, once for term counts, and once more only where a revealing term stands; what
-is shuffled are digests, entities, terms and counts, combined before the shuffle.
+Equal texts count once in all figures: each of m equal rows counts 1 / m, so texts need not meet to be counted. A pair needs
+SUPPORT different texts, which keeps chance meetings out; so an entity in fewer texts discloses nothing.
+
+Texts are scanned three times: for the base (which also notes the terms of texts with entities, and of one text in SHARE), to
+count the terms that may reach the threshold in all texts, and to place the revealing ones, where any stand. The noted terms
+bound n(t) from below, so only pairs go that cannot reach the threshold. What is shuffled are digests, entities,
+terms and counts, combined before the shuffle; pairs are made within one text only, one after the other.
 
 The patterns below accept exactly what the plain ones do, but cannot be tried again inside a run that failed
 (possessive repeats, and a look behind or the end of the last match before a start), so very long runs cost linear time.
 
 Defined cases: a null text is empty and has no spans; equal texts have equal spans, so rows are joined by the text's
-64-bit digest; an empty table gives an empty result.
+64-bit digest; a term span that overlaps a base span is left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Tried before the patterns: where it does not match, the pattern has no valid match either.
 IP_HINT, CARD_HINT = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"[0-9](?:[ -]?[0-9]){15}"
 
-#: Terms are first counted in one text of so many: a lower bound that rules out most of the frequent ones.
-SHARES = (64, 8)
-#: Code points around a span in which terms are near it; letters of a term; different texts that a pair needs.
-AROUND, LETTERS, SUPPORT = 48, 4, 3
+#: Terms of one text in so many are noted: a lower bound that rules out most of the frequent ones.
+SHARE = 16
+#: Letters of a term; different texts that a pair needs.
+LETTERS, SUPPORT = 4, 3
 GENERALISE, REMOVE = 0.6, 0.9
 TERM = r"\p{L}{%d,}+" % LETTERS
 
@@ -111,64 +115,72 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-
-
-def light_table(docs: DataFrame) -> DataFrame:
-    """doc_id, h (the text's digest), spans (base), near: (entity, terms around it) for each span."""
-    near = F.transform(
-        "spans",
-        lambda s: F.struct(
-            F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"),
-            _terms(F.concat(F.col("text").substr(F.greatest(s["start"] - AROUND, F.lit(0)) + 1, F.least(s["start"], F.lit(AROUND))), F.lit(" "), F.col("text").substr(s["end"] + 1, F.lit(AROUND)))).alias("terms"),
-        ),
-    )
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+
+
+def light_table(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, h (the text's digest), spans (base), terms: of texts with spans and of one text in `share`, else null."""
     d = _rows(docs).withColumn("spans", base_spans(F.col("text")))
-    return common.written(d.select("doc_id", "h", "spans", near.alias("near")), "pii-light")
+    noted = (F.size("spans") > 0) | (F.pmod("h", F.lit(share)) == 0)
+    return common.written(d.select("doc_id", "h", "spans", F.when(noted, _terms(F.col("text"))).alias("terms")), "pii-light")
+
+
+def _repeated(light: DataFrame) -> DataFrame:
+    """h, rows: of texts that more than one row has."""
+    return common.written(light.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "pii-repeated")
+
+
+def _texts(counted: DataFrame, repeated: DataFrame, *by: str) -> DataFrame:
+    """by, n: the different texts among the rows (h, by) of counted, a row for each text and value."""
+    each = counted.join(common.small(repeated), "h", "left").groupBy(*by).agg(F.sum(F.lit(1.0) / F.coalesce("rows", F.lit(1))).alias("n"))
+    return each.withColumn("n", F.round("n", 3))
 
 
-def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """term, disclosure (the largest over entities), for terms at `generalise` or above. A written table."""
-    near = light.where(F.size("near") > 0).select("h", F.explode("near").alias("n")).select("h", F.col("n.entity").alias("entity"), F.col("n.terms").alias("terms"))
-    met = near.select("h", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    entities = near.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    least = met.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("least_t"))
+def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """(term, disclosure: the largest over entities, for terms at `generalise` or above; h, term: where they stand). Written tables."""
+    repeated = _repeated(light)
     n = float(light.select("h").distinct().count())
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
+    near = light.where(F.size("spans") > 0).select("h", "terms", F.explode(named).alias("entity"))
+    entities = common.written(_texts(near.select("h", "entity"), repeated, "entity").where(F.col("n") >= support).withColumnRenamed("n", "n_e"), "pii-entities")
+    met = near.join(common.small(entities.select("entity")), "entity", "left_semi").select("h", "entity", F.explode("terms").alias("term"))
+    pairs = common.written(_texts(met, repeated, "entity", "term").where(F.col("n") >= support).withColumnRenamed("n", "n_te"), "pii-pairs")
     info = F.log(F.lit(n) / F.col("n_e"))
-    share = lambda n_t: F.when(info > 0, F.log(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e").cast("double"))) / info).otherwise(0.0)
-    # n(t) is at least the number of texts in which t stands near entities, or in which t is among a share of all
-    # texts; pairs that miss the threshold even with such a bound cannot reach it, and are not counted any further
-    pairs = common.written(pairs.join(entities, "entity").join(least, "term").where(share("least_t") >= generalise), "pii-pairs")
-    for part in SHARES:
-        seen = holding(docs, common.written(pairs.select("term").distinct(), "pii-candidates"), part).groupBy("term").agg(F.count("*").alias("seen_t"))
-        bound = pairs.join(common.small(common.written(seen, "pii-seen")), "term", "left").withColumn("least_t", F.greatest("least_t", "seen_t")).drop("seen_t")
-        pairs = common.written(bound.where(share("least_t") >= generalise), "pii-pairs")
+    share = lambda n_t: F.when(info > 0, F.log(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e"))) / info).otherwise(0.0)
+    # n(t) is at least n(t, e), and at least the number of noted texts that have t
+    seen = _texts(light.where("terms is not null").select("h", F.explode("terms").alias("term")).join(common.small(common.written(pairs.select("term").distinct(), "pii-terms")), "term", "left_semi"), repeated, "term")
+    bound = pairs.join(common.small(entities), "entity").join(seen.withColumnRenamed("n", "least_t"), "term")
+    pairs = common.written(bound.where(share("least_t") >= generalise).drop("least_t"), "pii-pairs")
     wanted = common.written(pairs.select("term").distinct(), "pii-candidates")
-    if wanted.limit(1).count() == 0:
-        return common.written(wanted.withColumn("disclosure", F.lit(0.0)), "pii-terms")
-    n_t = holding(docs, wanted).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(n_t, "term").select("term", share("n_t").alias("disclosure"))
-    return common.written(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise), "pii-terms")
+    held = common.written(holding(docs, wanted), "pii-held")
+    scored = pairs.join(_texts(held, repeated, "term").withColumnRenamed("n", "n_t"), "term").select("term", share("n_t").alias("disclosure"))
+    terms = common.written(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise), "pii-terms")
+    return terms, held
 
 
-def holding(docs: DataFrame, terms: DataFrame, part: int = 1) -> DataFrame:
-    """h, term: the different texts, of one in `part`, that contain a term of the (written) table."""
-    words = _rows(docs).where(F.pmod("h", F.lit(part)) == 0).select("h", F.explode(_terms(F.col("text"))).alias("term"))
-    return words.join(common.small(terms.select("term")), "term", "left_semi").distinct()
+def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """h, term: a row for each row of docs and term of the (written) table that its text contains."""
+    rows = terms.count()
+    words = _rows(docs).where(F.lit(rows > 0)).select("h", F.explode(_terms(F.col("text"))).alias("term"))
+    return words.join(common.small(terms.select("term"), rows), "term", "left_semi").select("h", "term")
 
 
-def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, share: int = SHARE) -> DataFrame:
     """doc_id, h, spans: base and term spans by kind, then start; `removed` lists the values of terms to be removed."""
-    light = light_table(docs)
-    terms = disclosure(docs, light, support, generalise)
-    if terms.limit(1).count() == 0:
-        return light.select("doc_id", "h", "spans", F.array().cast("array<string>").alias("removed"))
-    texts = common.written(holding(docs, terms).join(common.small(terms), "term").groupBy("h").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term"))).alias("removed")), "pii-texts")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    held = _rows(docs).select("h", "text").join(common.small(texts, bound=common.BROADCAST_ROWS // 10), "h").withColumn("terms", _places(F.col("text"), pattern, 4))
-    held = common.written(held.groupBy("h").agg(F.any_value("terms").alias("terms"), F.any_value("removed").alias("removed")), "pii-places")
-    r = light.join(common.small(held, bound=common.BROADCAST_ROWS // 10), "h", "left")
+    light = light_table(docs, share)
+    spark = docs.sparkSession
+    with common.scratch(spark):
+        terms, held = disclosure(docs, light, support, generalise)
+        terms = common.small(terms)
+        texts = common.written(held.join(terms, "term").select("h").distinct(), "pii-texts")
+        # one row for each text: of equal ones, every row gives the same places
+        words = F.explode(_places(F.col("text"), TERM, 4)).alias("s")
+        placed = _rows(docs).select("h", "text").join(common.small(texts), "h", "left_semi").select("h", words).select("h", F.lower("s.value").alias("term"), "s")
+        placed = placed.join(terms, "term").select("h", "s", "disclosure").distinct()
+        held = placed.groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("terms"), F.collect_set(F.when(F.col("disclosure") >= remove, F.lower("s.value"))).alias("removed"))
+        held = common.outlives(held, "pii-places")
+    r = light.select("doc_id", "h", "spans").join(common.small(held, bound=common.BROADCAST_ROWS // 10), "h", "left")
     free = F.filter(F.coalesce("terms", _none()), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return r.select("doc_id", "h", F.concat("spans", free).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
 
@@ -178,8 +190,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Of spans that overlap, the one that starts first is replaced. One row for each different (doc_id, text).
     """
-    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans", "removed").dropDuplicates(["_id", "_h"])
-    found = common.written(found, "pii-found")
+    with common.scratch(docs.sparkSession):
+        found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans", "removed").dropDuplicates(["_id", "_h"])
+        found = common.outlives(found, "pii-found")
     d = _rows(docs)
     d = d.join(common.small(found, bound=common.BROADCAST_ROWS // 10), d["doc_id"].eqNullSafe(F.col("_id")) & (d["h"] == F.col("_h")), "left")
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
