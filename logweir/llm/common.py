@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: A side of at most this many narrow rows (some tens of bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 #: While a table is written: bytes of an Arrow batch and rows of a Parquet batch, so that long texts do not add up in memory.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 _scopes: list[list[str]] = []
 
@@ -120,6 +120,13 @@ def held_out(mod: int, remainder: int, c: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % mod == remainder
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs that gone (a written table of doc_id and the text's XXH64, key) does not list, whole."""
+    gone = gone.select(F.col("doc_id").alias("__keep_gone"), F.col("key").alias("__keep_key"))
+    same = docs["doc_id"].eqNullSafe(F.col("__keep_gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__keep_key"))
+    return docs.join(small(gone), same, "left_anti")
+
+
 def keep_listed(docs: DataFrame, light: DataFrame, kept: Column, key_of_text: Column | None = None) -> DataFrame:
     """The rows of docs that light keeps, whole.
 

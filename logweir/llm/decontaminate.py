@@ -10,8 +10,7 @@ the item's words, which then must stand there unchanged; items of fewer than LEA
 So nine of ten overlaps that count share a seed, whatever the item's length and wherever the replaced words are
 (the tests measure it against all diagonals).
 
-The scan of the documents sends on only seeds that pass a Bloom filter of the benchmark's seeds, with three places
-each. It has 16 bits a seed, 4 MB at least and MOST_BITS at most: beyond that more seeds go to the join, and none is lost.
+The scan of the documents sends on only seeds that pass a Bloom filter of the benchmark's seeds (bloom.py).
 Seeds that pass leave the scan with the words around them, so texts are read once and not shuffled; to be verified, a
 diagonal takes along the words that lie over the item, not the stretch it was found in.
 
@@ -23,14 +22,13 @@ documents with repeated ids are judged row by row; very long texts are searched
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 #: Fixed masks: 1 selects a word. For long items, for middle ones, and for short ones of 3 to 7 words.
 MASKS = ("1111111", "1101101011", "1011001100101", "1110000101011", "11111", "110111", "1101011", "111", "1111", "11111", "111111", "1111111")
@@ -40,10 +38,8 @@ LONG, MIDDLE, LEAST_WORDS = 16, 8, 3
 MIN_WORDS, MIN_SHARE = 13, 0.8
 #: At least this share of an overlap's words are equal, as a fraction of whole numbers.
 IDENTITY = (4, 5)
-#: Words kept on either side of a hit; the filter's places, as powers of two; seeds have PER_SEED each.
-AROUND, LEAST_BITS, MOST_BITS, PER_SEED = 128, 25, 30, 16
-#: Multipliers of a seed's places in the filter.
-_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Words kept on either side of a hit.
+AROUND = 128
 
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 _SEED_STEP = 0x9E3779B97F4A7C15
@@ -129,41 +125,6 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return common.written(items.select("item_key", "item").mapInArrow(scan, "seed long, item_key long, item_pos int, mask int"), "bench-seeds")
 
 
-def places(s: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(s * np.uint64(m)) >> np.uint64(64 - bits) for m in _PLACES]
-
-
-def _filter(known: DataFrame, block: int = 16) -> np.ndarray:
-    """The Bloom filter's bytes, put together in blocks of 2^block places on the executors."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (PER_SEED * known.count()).bit_length()))
-
-    def scan(batches):
-        for b in batches:
-            s = np.unique(b.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
-            p = np.unique(np.concatenate(places(s, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(block)).astype(np.int32)), pa.array((p & np.uint64((1 << block) - 1)).astype(np.int32))], ["block", "place"])
-
-    def fill(key, pdf):
-        on = np.zeros(1 << block, np.uint8)
-        on[pdf["place"].to_numpy()] = 1
-        return pd.DataFrame({"block": [key[0]], "bytes": [np.packbits(on, bitorder="little").tobytes()]})
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in known.select("seed").mapInArrow(scan, "block int, place int").distinct().groupBy("block").applyInPandas(fill, "block int, bytes binary").collect():
-        at = r["block"] << (block - 3)
-        out[at : at + (1 << (block - 3))] = np.frombuffer(r["bytes"], np.uint8)
-    return out
-
-
-def passing(s: np.ndarray, filter_: np.ndarray) -> np.ndarray:
-    """Positions of the seeds that may be known."""
-    at, bits = np.arange(len(s)), len(filter_).bit_length() + 2
-    for m in _PLACES:
-        p = (s[at] * np.uint64(m)) >> np.uint64(64 - bits)
-        at = at[(filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-    return at
-
-
 def _regions(docs: DataFrame, bitmap, masks: list[int]) -> DataFrame:
     """A row for each stretch of a document with seeds that pass the filter: its words and the seeds, by place in it."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
@@ -182,7 +143,7 @@ def _regions(docs: DataFrame, bitmap, masks: list[int]) -> DataFrame:
                 found, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for m in masks:
                     s = seeds(toks, m)
-                    hit = passing(s, place)
+                    hit = bloom.passing(s, place)
                     found.append(s[hit])
                     at.append(hit)
                 at = np.concatenate(at)
@@ -207,7 +168,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_t
     items = _items(benchmark, item_id, item_text)
     known = _item_seeds(items)
     masks = sorted(r["mask"] for r in known.select("mask").distinct().collect())
-    regions = _regions(docs, spark.sparkContext.broadcast(_filter(known)), masks)
+    regions = _regions(docs, spark.sparkContext.broadcast(bloom.build(known.select("seed"))), masks)
 
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("region", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     joined = hits.join(common.small(known.select("seed", "item_key", "item_pos")), "seed")
@@ -237,9 +198,8 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_t
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which a benchmark item was found. Columns as they are. Rows of one id go by their texts."""
     with common.scratch(docs.sparkSession):
-        gone = common.outlives(find(docs, benchmark).select(F.col("doc_id").alias("__keep_gone"), F.col("key").alias("__keep_key")).distinct(), "bench-gone")
-    same = docs["doc_id"].eqNullSafe(F.col("__keep_gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__keep_key"))
-    return docs.join(common.small(gone), same, "left_anti")
+        gone = common.outlives(find(docs, benchmark).select("doc_id", "key").distinct(), "bench-gone")
+    return common.without(docs, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@
 4. Senders turn bitmaps back into fingerprints. Only rows with such a fingerprint are suspects; only their
    texts are shuffled, and for each digest the smallest and the largest text must be the same bytes.
 
-A fingerprint that one partition holds many times is sent once, so a group with a third of all rows costs
+There are as many owners as shuffle partitions, more where that leaves one over OWNED fingerprints, so an owner's memory
+does not grow with the data. A fingerprint that one partition holds many times is sent once, so a group with a third of all rows costs
 each partition one entry. Verification aggregates min and max before its shuffle, so such a group costs one
 text per task.
 
 Defined cases: null text equals empty text; a null doc_id is smaller than any other; rows that agree in
-doc_id and text count separately, and one of them stays; an empty table gives an empty result.
+doc_id and text count separately, and one of them stays; very long texts are hashed whole, and only where
+a duplicate is suspected shuffled; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from . import common
 
 #: Fingerprints that a sender holds in memory at once.
 CHUNK = 1 << 20
+#: Fingerprints that an owner holds in memory at once, on average.
+OWNED = 1 << 22
 
 
 def rice_encode(values: np.ndarray, start: int) -> tuple[int, bytes, bytes]:
@@ -80,7 +84,7 @@ def light_table(docs: DataFrame, bits: int = 64) -> DataFrame:
 def duplicated_fingerprints(light: DataFrame, owners: int | None = None) -> DataFrame:
     """fp: the fingerprints that more than one row of light has. A written table."""
     spark = light.sparkSession
-    owners = min(1 << 16, owners or common.shuffle_partitions(spark))
+    owners = min(1 << 16, owners or max(common.shuffle_partitions(spark), -(-light.count() // OWNED)))
     edges = [-(-(i << 64) // owners) for i in range(owners)] + [1 << 64]
 
     def send(batches):
@@ -142,10 +146,11 @@ def verify(docs: DataFrame, suspects: DataFrame) -> None:
 def decide(docs: DataFrame, bits: int = 64, owners: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, uid, key, keep_id, group_size, kept. Of equal texts the largest doc_id stays."""
     light = light_table(docs, bits)
-    fps = duplicated_fingerprints(light, owners)
-    suspects = common.written(light.join(common.small(fps), "fp", "left_semi").select("doc_id", "uid", "key"), "exact-suspects")
-    verify(docs, suspects)
-    groups = common.written(suspects.groupBy("key").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("n")), "exact-groups")
+    with common.scratch(docs.sparkSession):
+        fps = duplicated_fingerprints(light, owners)
+        suspects = common.written(light.join(common.small(fps), "fp", "left_semi").select("doc_id", "uid", "key"), "exact-suspects")
+        verify(docs, suspects)
+        groups = common.outlives(suspects.groupBy("key").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("n")), "exact-groups")
     out = light.join(common.small(groups), "key", "left")
     one = F.col("n").isNull()
     return out.select(
@@ -162,7 +167,9 @@ def text_key():
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts: the one with the largest doc_id. Columns as they are."""
-    return common.keep_listed(docs, common.written(decide(docs), "exact-decided"), F.col("kept"), text_key())
+    with common.scratch(docs.sparkSession):
+        d = common.outlives(decide(docs), "exact-decided")
+    return common.keep_listed(docs, d, F.col("kept"), text_key())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,30 +5,43 @@ distribution over languages, and a document's probabilities are the mean over al
 trained in numpy by backpropagation through time on a bounded, hash-chosen sample of labelled documents.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when no labelled
-row exists. A null doc_id counts as the empty text in the fold. Zero bytes leave the states as they are.
+row exists. A null doc_id counts as the empty text in the fold. Zero bytes leave the states as they are. Very long texts are
+read whole, window by window. The network has more units and steps the more languages there are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-HIDDEN = 8
 #: Bytes of a window; every byte of a text is in a window.
 WINDOW = 128
 #: Bounds of the training sample: languages, documents of each, windows of each document.
-MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 100, 300, 4
-STEPS, BATCH, RATE = 360, 128, 0.02
-#: Below this pooled probability a document is rejected. Short and mixed texts have low probabilities though nothing
-#: is wrong with them, so by default only those without any language (und) go.
-MIN_SCORE = 0.0
+MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 500, 300, 4
+BATCH, RATE = 128, 0.02
+#: Documents of each language, not learned from, that tell how sure the network is of documents in a language.
+CALIBRATION = 500
+#: Where a text is rejected, between a score by chance (0) and the least sure of these documents (1).
+REJECT = 0.5
+
+
+def hidden_units(langs: int) -> int:
+    """Of each direction: 12 for four languages, 24 for two hundred."""
+    return 8 + 2 * max(1, math.ceil(math.log2(max(2, langs))))
+
+
+def training_steps(langs: int) -> int:
+    return max(400, 50 * langs)
+
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -116,8 +129,9 @@ class Network:
         return [gx, gu, go, gc]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int | None = None, steps: int | None = None, seed: int = 7) -> Network:
     """Adam over random batches of windows."""
+    hidden, steps = hidden or hidden_units(len(langs)), steps or training_steps(len(langs))
     rng = np.random.default_rng(seed)
     net = Network.fresh(langs, hidden, rng)
     params = [net.x, net.u, net.o, net.c]
@@ -225,10 +239,45 @@ def scorer(net: Network | None):
     return score
 
 
-def reject_others(docs: DataFrame, learn: Column, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without rows that are ``und`` or whose language is less likely than min_score. Columns as they are."""
-    hit = scorer(fit(docs, learn))(F.col("text"))
-    return docs.withColumn("__language", hit).where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= min_score)).drop("__language")
+def least_sure(docs: DataFrame, learn: Column, net: Network) -> float:
+    """The lowest score among a bounded, hash-chosen sample of labelled documents that the network did not learn from.
+
+    Documents in which the network finds another language than their label are left out.
+    """
+    d = docs.select("doc_id", "text", "lang").where(~learn & F.col("lang").isin(net.langs) & (F.length("text") > 0))
+    counts = d.groupBy("lang").count().collect()
+    if not counts:
+        return 0.0
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, CALIBRATION / r["count"]))])
+    luck = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(1 << 30)) / float(1 << 30)
+    seen = d.where(luck < share[F.col("lang")]).select("lang", scorer(net)("text").alias("p")).where(F.col("p.lang_pred") == F.col("lang"))
+    return seen.agg(F.min("p.score")).first()[0] or 0.0
+
+
+def reject_others(docs: DataFrame, learn: Column, reject: float = REJECT) -> DataFrame:
+    """docs without rows that are ``und``, or in which the network is about as unsure as by chance. Columns as they are.
+
+    Without labelled rows there is no network, and every row goes. Rows of one id go by their texts.
+    """
+    net = fit(docs, learn)
+    least = 0.0
+    if net is not None and len(net.langs) > 1:
+        chance = 1 / len(net.langs)
+        least = chance + reject * max(0.0, least_sure(docs, learn, net) - chance)
+
+    def scan(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in part.column(1)]
+                langs, scores = predict(net, texts)
+                gone = [j for j, lang in enumerate(langs) if lang == "und" or scores[j] < least]
+                keys = np.array([xxhash.xxh64_intdigest(texts[j] or b"", 42) for j in gone], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(gone, pa.int64())), pa.array(keys)], ["doc_id", "key"])
+
+    with common.scratch(docs.sparkSession):
+        gone = common.outlives(common.id_and_text(docs).mapInArrow(scan, "doc_id long, key long").distinct(), "language-gone")
+    return common.without(docs, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

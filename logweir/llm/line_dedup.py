@@ -3,13 +3,14 @@
 Pages become lines of visible text. A line's frequency on a host is the number of the host's pages that contain
 it, divided by the host's pages; lines above the ratio are boilerplate there and are dropped from its pages.
 
-Counts are combined before their shuffle, so a host or line with a third of all rows is no hot spot. A host has at
+Lines are counted by 128-bit hashes, so no text is shuffled, and counts are combined before their shuffle, so a host or line
+with a third of all rows is no hot spot. A host has at
 most (lines of its pages / pages / ratio) boilerplate lines, so its list is short however many pages it has; the
 lists are joined to the pages by host (broadcast if few, otherwise a shuffle whose large partitions Spark splits),
 and pages are never taken apart and put together again.
 
 Defined cases: a null url is the host '' and a null html a page without lines; repeated rows count as pages of
-their own; a line counts once a page; hosts with fewer than MIN_PAGES pages keep all lines; an empty table gives
+their own; a line counts once a page; a line at the ratio exactly stays; hosts with fewer than MIN_PAGES pages keep all lines; an empty table gives
 an empty result.
 """
 
@@ -46,10 +47,16 @@ def lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(t, BLANKS, " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def digest(line: Column) -> Column:
+    """128 bits of a line, as two longs."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit("line")).alias("b"))
+
+
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, lines: the boilerplate lines of each host that has any. pages: host and lines (an array)."""
+    """host, boilerplate: the digests of the boilerplate lines of each host that has any. pages: host and lines (an array)."""
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    seen = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    lines = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", digest(F.col("line")).alias("line"))
+    seen = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     common_lines = seen.join(common.small(common.written(totals, "line-hosts")), "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return common.written(common_lines.groupBy("host").agg(F.collect_set("line").alias("boilerplate")), "line-boilerplate")
 
@@ -57,8 +64,10 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 def clean(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: page_id, host, n_lines, n_dropped, text (kept lines, joined by line feeds)."""
     p = common.written(pages.select("page_id", host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines")), "line-pages")
-    known = p.join(common.small(boilerplate(p, ratio, min_pages), bound=common.BROADCAST_ROWS // 100), "host", "left")
-    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", x)))
+    with common.scratch(pages.sparkSession):
+        found = common.outlives(boilerplate(p, ratio, min_pages), "line-found")
+    known = p.join(common.small(found, bound=common.BROADCAST_ROWS // 100), "host", "left")
+    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", digest(x))))
     k = known.select("page_id", "host", "lines", kept.alias("kept"))
     return k.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 

@@ -13,8 +13,8 @@ each member is listed under the 65 words within 1 bit of it, a list has at most
 members of a list are within 2 bits of each other, so each is linked to the smallest.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any
-others; fewer than three words are one shingle; an empty table gives an empty result; null doc_ids keep their rows and
-are passed over in the smallest doc_id.
+others; fewer than three words are one shingle; very long texts are hashed whole, a stretch of shingles at a time; an
+empty table gives an empty result; null doc_ids keep their rows and are passed over in the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -171,12 +171,14 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 def decide(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, uid, fp, key, component_id (the smallest doc_id reachable)."""
     light = light_table(docs)
-    fps = common.written(light.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
-    found = components(links(fps, hot))
-    named = fps.join(found, fps["fp"] == found["node"]).select("fp", "root", "rep")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = common.written(found.join(least, "root").select(F.col("node").alias("fp"), "least"), "simhash-linked")
-    of = fps.join(common.small(linked), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    with common.scratch(docs.sparkSession):
+        fps = common.written(light.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
+        found = components(links(fps, hot))
+        named = fps.join(found, fps["fp"] == found["node"]).select("fp", "root", "rep")
+        least = named.groupBy("root").agg(F.min("rep").alias("least"))
+        linked = common.written(found.join(least, "root").select(F.col("node").alias("fp"), "least"), "simhash-linked")
+        of = fps.join(common.small(linked), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+        of = common.outlives(of, "simhash-of")
     return light.join(of, "fp", "left").select("doc_id", "uid", "fp", "key", "component_id")
 
 

@@ -30,8 +30,8 @@ def test_exact_with_few_fingerprint_bits(docs):
     rng = random.Random(1)
     texts = [rng.choice(["a", "A", "é", "É", "", None, "x" * 70_000, f"t{rng.randrange(30)}"]) for _ in range(200)]
     ids = [*range(199), None]
-    for bits in (4, 64):
-        d = exact_dedup.decide(docs(texts, ids), bits, owners=3).collect()
+    for bits, owners in ((4, 3), (64, 3), (64, 500)):
+        d = exact_dedup.decide(docs(texts, ids), bits, owners=owners).collect()
         got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["keep_id"] if r["keep_id"] is not None else -1, r["group_size"], r["key"].hex()) for r in d)
         assert got == brute_exact(list(zip(ids, texts, strict=True)))
         assert sum(r["kept"] for r in d) == len({r["key"] for r in d})
@@ -134,3 +134,17 @@ def test_components_of_a_long_chain(spark):
         got = {r["node"]: r["root"] for r in components.components(df, one_task=one_task).collect()}
         assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
     assert components.components(df.limit(0)).count() == 0
+
+
+def test_nothing_but_the_result_is_left(docs, spark):
+    """Tables of a query go once its result is written; those it still reads go when Spark ends."""
+    import os
+
+    from logweir.llm import common
+
+    d = docs(["a b c", "A b c", "x y z", None])
+    folder = common.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with common.scratch(spark):
+        out = common.outlives(exact_dedup.drop_copies(d), "result")
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["result"] and out.count() == 3

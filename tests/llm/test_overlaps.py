@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from logweir.llm import decontaminate
+from logweir.llm import bloom, decontaminate
 
 
 def changed(item, pattern):
@@ -86,6 +86,6 @@ def test_filter_has_all_seeds_and_few_others(spark):
     rng = np.random.default_rng(16)
     s = rng.integers(-(2**63), 2**63 - 1, 300_000)
     known = spark.createDataFrame([(int(x),) for x in s[:200_000]], "seed long")
-    filter_ = decontaminate._filter(known)
-    assert len(decontaminate.passing(s[:200_000].view(np.uint64), filter_)) == 200_000
-    assert len(decontaminate.passing(s[200_000:].view(np.uint64), filter_)) < 1000
+    filter_ = bloom.build(known)
+    assert len(bloom.passing(s[:200_000].view(np.uint64), filter_)) == 200_000
+    assert len(bloom.passing(s[200_000:].view(np.uint64), filter_)) < 1000

@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -43,8 +44,8 @@ def test_gradients_agree_with_differences():
 
 def test_languages_are_learned(spark):
     rng = random.Random(5)
-    rows = [(i, letters(rng, "abcdeé" if i % 2 else "pqrst", rng.randrange(1, 80)), "x" if i % 2 else "y") for i in range(240)]
-    extra = [(900, None, "x"), (901, "", "y"), (902, "123 !?", "x"), (903, "Δ", None), (904, rows[1][1] * 400, None), (None, "pqr", None)]
+    rows = [(i, letters(rng, "abcdeé" if i % 2 else "pqrst", 40 if i in (1, 2) else rng.randrange(1, 80)), "x" if i % 2 else "y") for i in range(240)]
+    extra = [(900, None, "x"), (901, "", "y"), (902, "123 !?", "x"), (903, "Δ", None), (904, rows[1][1] * 400, None), (None, "pqr", None), (905, f"{rows[1][1]} {rows[2][1]} " * 50, None)]
     d = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     net = language_id.fit(d, learn)
@@ -53,7 +54,11 @@ def test_languages_are_learned(spark):
     assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[904]["lang_pred"] == "x"
     assert all(0 <= p["score"] <= 1 for p in got.values())
     left = {r["doc_id"] for r in language_id.reject_others(d, learn).collect()}
-    assert not left & {900, 901, 902} and len(left) > 230
+    assert not left & {900, 901, 902, 905} and {904, None} < left and len(left) > 230
+    least = language_id.least_sure(d, learn, net)
+    assert 0.5 < least <= min(got[i]["score"] for i, _, lang in rows if got[i]["lang_pred"] == lang and zlib.crc32(str(i).encode()) % 4 == 2) + 1e-9
+    again = d.where("doc_id < 240").unionAll(d.where("doc_id < 2")).unionAll(d.where("doc_id = 902").selectExpr("1L as doc_id", "text", "lang"))
+    assert sorted(r["doc_id"] for r in language_id.reject_others(again, learn).where("doc_id < 2").collect()) == [0, 0, 1, 1]
     assert language_id.fit(d.limit(0), learn) is None
     assert d.select(language_id.scorer(None)("text").alias("p")).first()["p"]["lang_pred"] == "und"
 
@@ -259,6 +264,14 @@ def test_boilerplate_lines_go(spark):
     assert line_dedup.clean(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_lines_at_the_ratio_long_pages_and_clashing_columns(spark):
+    rows = [(i, "http://h.example/", "<p>at</p>" * (i < 3) + "<p>above</p>" * (i < 4) + f"<p>own {i}</p>") for i in range(10)] + [(99, "http://l.example/", "<div>x</div>\n" * 100_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'a' as host", "'b' as lines", "'c' as boilerplate")
+    got = {r["page_id"]: r for r in line_dedup.clean(d).collect()}
+    assert got[0]["text"] == "at\nown 0" and got[3]["text"] == "own 3" and got[9]["text"] == "own 9"
+    assert got[99]["n_lines"] == 100_000 and got[99]["n_dropped"] == 0
+
+
 # mixing
 
 
