@@ -13,6 +13,8 @@ from . import coerce
 from .coerce import Val
 from .compiler import Compiler
 
+#: Relative standard error of estdc: that of 2^14 registers.
+ESTDC_ERROR = 1.04 / 2**7
 PER = {"per_second": 1.0, "per_minute": 60.0, "per_hour": 3600.0, "per_day": 86400.0}
 
 
@@ -26,14 +28,17 @@ def _argument(c: Compiler, a: Agg) -> Val:
     return v
 
 
-def _extreme(v: Val, least: bool, over) -> Column:
-    """Strings compare as numbers where they are numbers; numbers come before other strings."""
-    f = F.min if least else F.max
+def extreme_key(v: Val) -> Column:
+    """What min and max compare. Strings compare as numbers where they are numbers, which come before other strings."""
     if v.kind != "string":
-        return over(f(v.col))
+        return v.col
     n = coerce.number(v)
-    key = F.struct(n.isNull().alias("word"), n.alias("n"), v.col.alias("s"))
-    return over(f(F.when(v.col.isNotNull(), key)))["s"]
+    return F.when(v.col.isNotNull(), F.struct(n.isNull().alias("word"), n.alias("n"), v.col.alias("s")))
+
+
+def _extreme(v: Val, least: bool, over) -> Column:
+    got = over((F.min if least else F.max)(extreme_key(v)))
+    return got["s"] if v.kind == "string" else got
 
 
 def order_key(order: list[tuple[str, bool]], c: Compiler) -> Column | None:
@@ -83,9 +88,9 @@ def compile_aggregate(a: Agg, c: Compiler, order: list[tuple[str, bool]], over=l
         shown = v.col if v.kind != "array" else coerce.text(v)
         if windowed:
             return F.size(over(F.collect_set(shown))).cast("long")
-        return over(F.approx_count_distinct(shown, 0.0081)) if f == "estdc" else over(F.count_distinct(shown))
+        return over(F.approx_count_distinct(shown, ESTDC_ERROR)) if f == "estdc" else over(F.count_distinct(shown))
     if f == "estdc_error":
-        return over(F.max(F.lit(0.0)))
+        return F.when(over(F.count(v.col)) > 0, F.lit(ESTDC_ERROR)).otherwise(0.0)
     if f == "values":
         return F.array_sort(over(F.collect_set(coerce.text(v))))
     if f == "list":

@@ -15,7 +15,8 @@ from ..lang.ast import QueryError
 from .patterns import quote
 
 KEYS = 10_000
-SEVERITIES = "emerg alert crit err warning notice info debug".split()
+#: Names of syslog's severities and facilities by code (RFC 5424).
+SEVERITIES = "emergency alert critical error warning notice info debug".split()
 FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
 
 
@@ -154,7 +155,7 @@ def leef(df, s, only, o):
 
 def redis(df, s, only, o):
     cols = _whole(_parts(s, r"^(\d+):([XCSM]) (\d+ \w+ \d{4} \d\d:\d\d:\d\d(?:\.\d+)?) ([.\-*#]) ((?s).*)$", "pid role_char timestamp level_char message", ()), "pid")
-    role = F.create_map(*[F.lit(x) for x in ("X", "sentinel", "C", "child", "S", "replica", "M", "master")])
+    role = F.create_map(*[F.lit(x) for x in ("M", "master", "S", "replica", "C", "rdb_child", "X", "sentinel")])
     level = F.create_map(*[F.lit(x) for x in (".", "debug", "-", "verbose", "*", "notice", "#", "warning")])
     return cols | {"role": role[cols["role_char"]], "level": level[cols["level_char"]]}
 
@@ -176,11 +177,17 @@ def mysql_slow(df, s, only, o):
     return cols | {"statement": F.when(s.contains("# ") & (F.trim(body) != ""), F.trim(F.regexp_replace(body, r";?\s*$", "")))}
 
 
+#: Names of haproxy's timers and counters, in the order in which it prints them.
+TIMERS = "tq tw tc tr tt".split()
+COUNTERS = "actconn feconn beconn srv_conn retries".split()
+
+
 def haproxy(df, s, only, o):
-    head = r'(\d+\.\d+\.\d+\.\d+|[0-9a-fA-F:]+):(\d+) \[([^\]]+)\] (\S+) ([^\s/]+)/(\S+) (\S+) (\d+|-1) (\d+) \S+ \S+ (\S{4}) \S+ \S+(?: \{[^}]*\})* "(\S+) (\S+) ?([^"]*)"'
-    cols = _parts(s, head, "client_ip client_port timestamp frontend backend server timers status bytes term_state method uri protocol")
-    t = F.split(cols["timers"], "/")
-    return _whole(cols, "client_port", "status", "bytes") | {n: F.get(t, i).try_cast("long") for i, n in enumerate(("time_request", "time_queue", "time_connect", "time_response", "time_total"))}
+    head = r'(\d+\.\d+\.\d+\.\d+|[0-9a-fA-F:]+):(\d+) \[([^\]]+)\] (\S+) ([^\s/]+)(?:/(\S+))? (\S+) (\d+|-1) (\d+) \S+ \S+ (\S{4}) (\S+) \S+(?: \{[^}]*\})* "(\S+) (\S+) ?([^"]*)"'
+    cols = _parts(s, head, "client_ip client_port timestamp frontend backend server timers status bytes term_state counters method uri protocol")
+    split = lambda c, names: {n: F.get(F.split(cols[c], "/"), i).try_cast("long") for i, n in enumerate(names)}
+    shown = {n: c for n, c in cols.items() if n not in ("timers", "counters")}
+    return _whole(shown, "client_port", "status", "bytes") | split("timers", TIMERS) | split("counters", COUNTERS)
 
 
 def w3c(df, s, only, o):

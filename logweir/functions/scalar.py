@@ -514,6 +514,11 @@ def _searchmatch(c, args):
     return Val(c.search(parse_search(str(constant(args[0])))), "bool")
 
 
+def _now(c, args):
+    """Seconds since the epoch; what the query's relative times count from, where that is given."""
+    return Val(F.unix_seconds(F.lit(c.now).cast("timestamp_ntz").cast("timestamp")) if c.now else F.unix_seconds(F.current_timestamp()), "int")
+
+
 def _eval(c, args):
     need(args, 1, 1)
     return c(args[0])
@@ -540,5 +545,5 @@ FUNCTIONS = {
     "json_keys": lambda c, a: Val(F.json_object_keys(_at(c, a)), "array"), "json_array_length": lambda c, a: Val(F.json_array_length(_at(c, a)).cast("long"), "int"),
     "json_object": _json_object, "json_array": _json_array, "json_type": _json_type, "json_set": _json_set, "json_remove": _json_remove, "json_merge": _json_merge,
     "isnum": _is("num"), "isint": _is("int"), "isbool": _is("bool"), "isarray": _is("array"), "isobject": _is("object"), "isstr": _is("str"), "typeof": _typeof,
-    "cidrmatch": _cidrmatch, "eval": _eval, "now": lambda c, a: Val(F.unix_seconds(F.current_timestamp()), "int"), "time": lambda c, a: Val(F.unix_seconds(F.current_timestamp()), "int"),
+    "cidrmatch": _cidrmatch, "eval": _eval, "now": _now, "time": _now,
 }

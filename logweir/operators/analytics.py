@@ -85,6 +85,8 @@ def _ranks(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
 
 #: Variable parts of log lines, replaced by a wildcard in this order.
 VARIABLES = (
+    r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?(?![\w])",
+    r"\b[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?\b",
     r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
     r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\b",
     r"\b0x[0-9a-fA-F]+\b",

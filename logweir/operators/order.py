@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,9 @@ def _sortable(t: T.DataType) -> bool:
 
 
 def columns(df: DataFrame, order: Order, total: bool = True, flip: bool = False) -> list[Column]:
-    """Sort columns: numeric strings by number, nulls smallest; all other columns break ties if a total order is
-    asked for. flip: the exact opposite."""
+    """Sort columns: numeric strings by number, nulls smallest. For a total order ties are broken by the rows' place in
+    their files (PLACE) where it is known, so that no other columns are read; else by all other columns. flip: the exact
+    opposite."""
     c, out, used = Compiler(df), [], set()
     for name, desc in order:
         v = c.field(name)
@@ -29,7 +31,9 @@ def columns(df: DataFrame, order: Order, total: bool = True, flip: bool = False)
         if v.kind == "string":  # null first, then numbers, then words
             keys = [v.col.isNotNull(), *keys]
         out += [k.desc_nulls_last() if desc != flip else k.asc_nulls_first() for k in keys]
-    if total:
+    if total and PLACE in df.columns:
+        out += [F.col(PLACE).desc_nulls_last() if flip else F.col(PLACE).asc_nulls_first()]
+    elif total:
         ties = [F.col(f"`{f.name}`") for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in used and _sortable(f.dataType) and not f.name.startswith(HIDDEN)]
         ties += [F.col(n) for n in df.columns if n.startswith(HIDDEN) and n not in used]
         out += [t.desc_nulls_last() if flip else t.asc_nulls_first() for t in ties]
@@ -40,6 +44,16 @@ def columns(df: DataFrame, order: Order, total: bool = True, flip: bool = False)
 HIDDEN = "__order_"
 #: The position of a row in its file, where a source keeps it.
 POSITION = "__order_in"
+#: File and row number of a row of Parquet files, which break ties only.
+PLACE = "__order_place"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with PLACE if it is a plain scan of Parquet files."""
+    try:
+        return df.withColumn(PLACE, F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return df
 
 
 def default_order(df: DataFrame) -> Order:

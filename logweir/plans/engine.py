@@ -89,7 +89,7 @@ class Run:
         if views is not None and len(s.names) == 1 and s.names[0] in views.names():
             df = views.read(s.names[0])
         else:
-            df = self.engine.catalog.scan(s)
+            df = self.engine.catalog.scan(s, placed=True)
         if self.shift and "_time" in df.columns:
             df = df.withColumn("_time", F.col("_time") + F.make_dt_interval(secs=F.lit(self.shift.total_seconds())))
         low, high = s.earliest or self.earliest, s.latest or self.latest
@@ -198,7 +198,7 @@ class Run:
 
     # multivalues
     def do_unroll(self, s, c):
-        return State(multivalue.unroll(s.df, c["names"], c["limit"], c["alias"]), s.order)
+        return State(multivalue.unroll(s.df.drop(order.PLACE), c["names"], c["limit"], c["alias"]), s.order)
 
     def do_makemv(self, s, c):
         return State(multivalue.makemv(s.df, c["field"], c["delim"], c["tokenizer"], c["allowempty"]), s.order)

@@ -7,14 +7,18 @@ new rows only append partial rows. Everything is in one folder: a definition as
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import coerce, times
+from ..functions.aggregates import extreme_key
 from ..functions.compiler import Compiler
 from ..lang.ast import Agg, Bin, Command, Field, Lit, Query, QueryError, Test, Un
 from ..lang.parser import parse
@@ -36,6 +40,7 @@ class Definition:
     status: str = "active"
     cursor: str | None = None
     batches: list[str] = field(default_factory=list)
+    files: list[str] = field(default_factory=list)
 
 
 def split(q: Query) -> tuple[list[Command], Command | None, list[Command]]:
@@ -64,7 +69,7 @@ def partial(df: DataFrame, aggs: list[Agg], by: list[str]) -> DataFrame:
         elif a.func in ("avg", "mean"):
             cols += [F.sum(x).alias(f"s{i}_sum"), F.count(x).alias(f"s{i}_n")]
         elif a.func in ("min", "max"):
-            cols.append((F.min if a.func == "min" else F.max)(v.col).alias(f"s{i}_{a.func}"))
+            cols.append((F.min if a.func == "min" else F.max)(extreme_key(v)).alias(f"s{i}_{a.func}"))
         elif a.func == "range":
             cols += [F.min(x).alias(f"s{i}_min"), F.max(x).alias(f"s{i}_max")]
         else:
@@ -84,6 +89,7 @@ def merged(states: DataFrame, aggs: list[Agg], by: list[str], keep: list[tuple[i
             c = F.try_divide(F.sum(f"s{i}_sum"), F.sum(f"s{i}_n"))
         elif a.func in ("min", "max"):
             c = (F.min if a.func == "min" else F.max)(f"s{i}_{a.func}")
+            c = c["s"] if isinstance(states.schema[f"s{i}_{a.func}"].dataType, T.StructType) else c
         elif a.func == "range":
             c = F.max(f"s{i}_max") - F.min(f"s{i}_min")
         else:
@@ -137,6 +143,14 @@ def fields_of(e) -> set[str] | None:
     return None if any(f is None for f in found) else set().union(*found)
 
 
+#: A path's scheme and slashes, which file listings and rows write in two ways.
+_SCHEME = ("^([a-z0-9]+:)/+", "$1/")
+
+
+def _plain_path(path: str) -> str:
+    return re.sub(_SCHEME[0], r"\1/", path)
+
+
 class Views:
     """A folder of views. Definitions are small JSON files, written and read through Spark's file system."""
 
@@ -197,24 +211,35 @@ class Views:
         self._save(d)
 
     def refresh(self, name: str) -> None:
-        """Adds source rows that are newer than the last refresh, by _time."""
+        """Adds the rows of source files that no refresh has seen, whatever their times.
+
+        Where files that were seen are gone (the source was rewritten), or the source has none, all rows are read again.
+        """
         d = self.definition(name)
-        q = parse(d.query).query
-        src = self.engine.catalog.scan(q.source)
-        if d.cursor:
-            src = src.where(F.col("_time") > F.lit(datetime.fromisoformat(d.cursor)).cast("timestamp_ntz"))
-        top = src.agg(F.max("_time").cast("timestamp_ntz")).first()[0]
-        if top is None:
+        src = self.engine.catalog.scan(parse(d.query).query.source)
+        files = sorted({_plain_path(f) for f in src.inputFiles()})
+        new = sorted(set(files) - set(d.files))
+        whole = not files or bool(set(d.files) - set(files))
+        if not whole and not new:
             return
-        src = src.where(F.col("_time") <= F.lit(top).cast("timestamp_ntz"))
-        self.apply(name, src, f"batch-{top:%Y%m%d%H%M%S%f}")
+        seen = files if whole else new
+        if not whole and d.files:
+            added = F.broadcast(self.spark.createDataFrame([(f,) for f in new], "__view_file string"))
+            src = src.join(added, F.regexp_replace(F.col("_metadata.file_path"), *_SCHEME) == F.col("__view_file"), "left_semi")
+        batch = "batch-" + hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+        top = src.agg(F.max("_time").cast("timestamp_ntz")).first()[0] if "_time" in src.columns else None
+        if whole:
+            d.batches = []
+            self._save(d)
+        self.apply(name, src, batch)
         d = self.definition(name)
-        d.cursor = top.isoformat()
+        d.files = files
+        d.cursor = max(filter(None, (d.cursor, top.isoformat() if top else None)), default=None)
         self._save(d)
 
     def rebuild(self, name: str) -> None:
         d = self.definition(name)
-        d.cursor, d.batches = None, []
+        d.cursor, d.batches, d.files = None, [], []
         self._save(d)
         self.refresh(name)
 

@@ -90,7 +90,6 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "bin_number": (f"{E} | bucket value span=25 as b | stats count by b", "SELECT floor(value / 25) * 25 AS b, count(*) AS count FROM events GROUP BY 1"),
     "json_extract": (f"{E} | json field=props k as key | table event_id, key", "SELECT event_id, json_extract_string(props, '$.k') AS key FROM events"),
     "pack_json": (f"{E} | pack_json event_id, event_type into j | table j", """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS j FROM events"""),
-    "fragment": (f"{E} | eval level=event_type, duration_ms=value | use @stdlib/p95 | eval p95=round(p95, 6)", "SELECT round(quantile_cont(value, 0.95), 6) AS p95 FROM events"),
     # order
     "sort_topk": (f"{E} | sort -value, event_id | head 20 | table event_id, value", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20"),
     "sort_numeric_strings": (f"{E} | eval s=tostring(user_id) | sort s, event_id | head 15 | table s, event_id", "SELECT user_id::VARCHAR AS s, event_id FROM events ORDER BY user_id, event_id LIMIT 15"),
@@ -156,7 +155,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "changes": (f"{E} | sort event_id | changes event_type by user_id | table event_id, previous_event_type", "SELECT event_id, p AS previous_event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NOT NULL AND p <> event_type"),
     "sessionize": (f"{E} | sessionize maxpause=2h by user_id | table event_id, _session_id, _session_start, _session_end", "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOURS OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS n FROM events), b AS (SELECT *, sum(n) OVER (ORDER BY user_id, ts, event_id) AS s FROM a) SELECT event_id, s::BIGINT AS _session_id, min(ts) OVER (PARTITION BY s) AS _session_start, max(ts) OVER (PARTITION BY s) AS _session_end FROM b"),
     "transaction": (f"{E} | transaction user_id maxpause=6h | eval duration=round(duration, 3) | table user_id, eventcount, duration, _time", "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOURS THEN 1 ELSE 0 END AS n FROM events), b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a) SELECT user_id, count(*) AS eventcount, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration, min(ts) AS _time FROM b GROUP BY user_id, s"),
-    "transaction_maxspan": (f"{E} | transaction user_id maxspan=1d | stats count, sum(eventcount) as n, max(duration) as longest | eval ok=longest <= 86400 | table n, ok", "SELECT count(*)::DOUBLE AS n, true AS ok FROM events"),
+    "transaction_maxspan": ('from events | transaction user_id maxspan=1d | eval duration=round(duration, 3) | table user_id, eventcount, duration, _time', 'WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, ts, i, ts AS first FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.ts, o.i, CASE WHEN o.ts - r.first > INTERVAL 1 DAY THEN o.ts ELSE r.first END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT user_id, count(*) AS eventcount, round((epoch_us(max(ts)) - epoch_us(first)) / 1e6, 3) AS duration, first AS _time FROM r GROUP BY user_id, first'),
     # pivots and analytics
     "xyseries": (f"{E} | stats count by user_id, event_type | xyseries user_id event_type count", "SELECT user_id::VARCHAR AS user_id, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'error'), 0) AS error, nullif(count(*) FILTER (event_type = 'purchase'), 0) AS purchase, nullif(count(*) FILTER (event_type = 'signup'), 0) AS signup, nullif(count(*) FILTER (event_type = 'view'), 0) AS view FROM events GROUP BY 1"),
     "untable": (f"{E} | stats count as n, dc(user_id) as users by event_type | untable event_type metric amount", "SELECT event_type, 'n' AS metric, count(*)::VARCHAR AS amount FROM events GROUP BY 1 UNION ALL SELECT event_type, 'users', count(DISTINCT user_id)::VARCHAR FROM events GROUP BY 1"),
@@ -168,7 +167,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "topology": ("from orders | topology source_field=o_orderstatus dest_field=o_orderpriority weight_field=o_totalprice | eval w=round(_edge_weight, 2) | fields - _edge_weight", "SELECT o_orderstatus AS _source, o_orderpriority AS _destination, count(*) AS _edge_count, (sum(count(*)) OVER (PARTITION BY o_orderstatus))::BIGINT AS _source_out_degree, (sum(count(*)) OVER (PARTITION BY o_orderpriority))::BIGINT AS _dest_in_degree, round(sum(o_totalprice), 2) AS w FROM orders GROUP BY 1, 2"),
     "patterns": ("from pages | table url | rename url as _raw | patterns similarity=0.5 max_templates=20", None),
     "glimpse": (f"{E} | glimpse", None),
-    "trace": (f'{E} | eval trace_id=tostring(user_id), span_id=tostring(event_id), parent_span_id=if(event_id % 5 = 0, "", tostring(event_id - event_id % 5)), service=event_type, operation=event_type, duration_ms=value | trace | table trace, operation, duration_ms, _span_depth', None),
+    "trace": (f'{E} | eval trace_id=tostring(user_id), span_id=tostring(event_id), parent_span_id=if(event_id % 5 = 0, "", tostring(event_id - event_id % 5)), service=event_type, operation=event_type, duration_ms=value | trace | table trace, operation, duration_ms, _span_depth', 'SELECT user_id::VARCHAR AS trace, event_type AS operation, value AS duration_ms, CASE WHEN event_id % 5 <> 0 AND EXISTS (SELECT 1 FROM events p WHERE p.event_id = e.event_id - e.event_id % 5 AND p.user_id = e.user_id) THEN 1 ELSE 0 END AS _span_depth FROM events e'),
     # multivalues and formats
     "unroll": (f'{E} | eval a=f"[1,{{user_id}},3]" | unroll a | table event_id, a', "SELECT event_id, unnest([1, user_id, 3])::VARCHAR AS a FROM events"),
     "mvexpand_limit": (f'{E} | eval m=split("x,y,z", ",") | mvexpand m limit=2 | table event_id, m', "SELECT event_id, unnest(['x', 'y']) AS m FROM events"),
@@ -179,8 +178,46 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "parse_kv": (f'{E} | eval line=f"user={{user_id}} kind={{event_type}}" | parse kv(line) as p extract(user, kind) | table event_id, p.user, p.kind', 'SELECT event_id, user_id::VARCHAR AS "p.user", event_type AS "p.kind" FROM events'),
     "parse_logfmt": (f'{E} | eval line=f"level=info msg=\\"a {{event_type}} b\\" n={{user_id}}" | unpack_logfmt from line fields(level, msg, n) | table event_id, level, msg, n', "SELECT event_id, 'info' AS level, 'a ' || event_type || ' b' AS msg, user_id::VARCHAR AS n FROM events"),
     "parse_combined": (f'{E} | eval line=f"10.0.0.{{user_id}} - bob [10/Jan/2024:10:00:00 +0000] \\"GET /{{event_type}} HTTP/1.1\\" 200 {{event_id}} \\"-\\" \\"curl/8\\"" | parse combined(line) | table event_id, client_ip, user, method, uri, protocol, status, bytes, referer, user_agent', "SELECT event_id, '10.0.0.' || user_id AS client_ip, 'bob' AS user, 'GET' AS method, '/' || event_type AS uri, 'HTTP/1.1' AS protocol, 200::BIGINT AS status, event_id AS bytes, CAST(NULL AS VARCHAR) AS referer, 'curl/8' AS user_agent FROM events"),
-    "parse_syslog": (f'{E} | eval line=f"<34>Oct 11 22:14:15 host{{user_id}} su[{{event_id}}]: {{event_type}} failed" | parse syslog(line) | table event_id, hostname, appname, procid, message, severity, facility, severity_name', "SELECT event_id, 'host' || user_id AS hostname, 'su' AS appname, event_id::VARCHAR AS procid, event_type || ' failed' AS message, 2::BIGINT AS severity, 4::BIGINT AS facility, 'crit' AS severity_name FROM events"),
+    "parse_syslog": (f'{E} | eval line=f"<34>Oct 11 22:14:15 host{{user_id}} su[{{event_id}}]: {{event_type}} failed" | parse syslog(line) | table event_id, hostname, appname, procid, message, severity, facility, severity_name', "SELECT event_id, 'host' || user_id AS hostname, 'su' AS appname, event_id::VARCHAR AS procid, event_type || ' failed' AS message, 2::BIGINT AS severity, 4::BIGINT AS facility, 'critical' AS severity_name FROM events"),
     "parse_pattern": (f'{E} | eval line=f"{{event_type}}:{{user_id}} took {{value}}ms" | parse pattern(line, "%{{kind}}:%{{user:int}} took %{{ms:float}}ms") | table event_id, kind, user, ms', "SELECT event_id, event_type AS kind, user_id AS user, value AS ms FROM events"),
+    # more of searching and functions
+    "search_field_exists": ('from events | eval x=if(value > 50, "y", null) | search x=* | stats count', 'SELECT count(*) AS count FROM events WHERE value > 50'),
+    "search_resource": ('from events | search index=orders o_orderstatus=F | stats count', "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F'"),
+    "search_bounds": ('from events | search earliest=2024-01-10T00:00:00Z latest=2024-01-12T00:00:00Z event_type=view | stats count', "SELECT count(*) AS count FROM events WHERE event_type = 'view' AND ts BETWEEN '2024-01-10' AND '2024-01-12'"),
+    "searchmatch": ('from events | where searchmatch("event_type=view value>100") | stats count', "SELECT count(*) AS count FROM events WHERE event_type = 'view' AND value > 100"),
+    "fieldformat": ('from events | fieldformat value=f"v{user_id}" | table event_id, value', 'SELECT event_id, value FROM events'),
+    "stats_estdc": ('from events | stats estdc(user_id) as u, dc(user_id) as d, estdc_error(user_id) as e | eval near=abs(u - d) <= 4 * e * d | table near, e', 'SELECT true AS near, 0.008125::DOUBLE AS e'),
+    "patterns_masked": ('from events | eval _raw=f"2024-01-05T10:11:12.345Z job {event_id} of {event_type} took {value} ms at 10.0.0.{user_id}:80" | patterns similarity=1.0 | eval percent=round(percent, 6) | table pattern, count, percent', "SELECT '<*> job <*> of ' || event_type || ' took <*> ms at <*>' AS pattern, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS percent FROM events GROUP BY event_type"),
+    "glimpse_numbers": ('from events | glimpse | where field="value" or field="user_id" | eval p50=round(p50, 6), p99=round(p99, 6) | table field, type, coverage, min, p50, p99, max', "WITH e AS (SELECT * FROM events ORDER BY event_id LIMIT 10000) SELECT 'value' AS field, 'double' AS type, 100.0::DOUBLE AS coverage, min(value)::DOUBLE AS min, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, max(value)::DOUBLE AS max FROM e UNION ALL SELECT 'user_id', 'bigint', 100.0, min(user_id)::DOUBLE, round(quantile_cont(user_id, 0.5), 6), round(quantile_cont(user_id, 0.99), 6), max(user_id)::DOUBLE FROM e"),
+    # the standard library's fragments
+    "stdlib_parse_combined": ('from events | eval _raw=f"10.0.0.{user_id} - - [10/Jan/2024:10:00:00 +0000] \\"GET /{event_type} HTTP/1.1\\" 500 {event_id} \\"-\\" \\"curl\\"" | use @stdlib/parse_combined | table event_id, client_ip, uri, status', "SELECT event_id, '10.0.0.' || user_id AS client_ip, '/' || event_type AS uri, 500::BIGINT AS status FROM events"),
+    "stdlib_parse_syslog": ('from events | eval _raw=f"<165>1 2024-01-01T00:00:00Z h{user_id} app {event_id} ID47 - {event_type}" | use @stdlib/parse_syslog | table event_id, hostname, procid, message, severity_name', "SELECT event_id, 'h' || user_id AS hostname, event_id::VARCHAR AS procid, event_type AS message, 'notice' AS severity_name FROM events"),
+    "stdlib_parse_nginx": ('from events | eval duration_ms=value, _raw=f"10.0.0.{user_id} - - [10/Jan/2024:10:00:00 +0000] \\"GET / HTTP/1.1\\" 200 1 \\"-\\" \\"-\\"" | use @stdlib/parse_nginx | eval s=round(duration_s, 8) | table event_id, method, s', "SELECT event_id, 'GET' AS method, round(value / 1000, 8) AS s FROM events"),
+    "stdlib_parse_json": ('from events | eval _raw=props | use @stdlib/parse_json | table event_id, k', "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+    "stdlib_parse_logfmt": ('from events | eval _raw=f"level={event_type} n={user_id}" | use @stdlib/parse_logfmt | table event_id, level, n', 'SELECT event_id, event_type AS level, user_id::VARCHAR AS n FROM events'),
+    "stdlib_errors_only": ('from events | eval level=event_type | use @stdlib/errors_only | stats count', "SELECT count(*) AS count FROM events WHERE event_type = 'error'"),
+    "stdlib_last_hour": ('from events | eval _time=_time + 86400 | use @stdlib/last_hour | stats count', "SELECT count(*) AS count FROM events WHERE ts + INTERVAL 1 DAY >= TIMESTAMP '2024-01-30 23:00:00'"),
+    "stdlib_top_sources": ('from events | eval source=event_type | use @stdlib/top_sources', 'SELECT event_type AS source, count(*) AS count FROM events GROUP BY 1'),
+    "stdlib_slow_requests": ('from events | eval duration_ms=value * 20 | use @stdlib/slow_requests | table duration_ms', 'SELECT value * 20 AS duration_ms FROM events WHERE value * 20 > 1000 ORDER BY 1 DESC LIMIT 50'),
+    # shapes of security rules
+    "rule_selection": ('from events | where (event_type = "error" or event_type =~ "^pur.*e$") and not (user_id in (1, 2, 3)) and value >= 20 | stats count by event_type', "SELECT event_type, count(*) AS count FROM events WHERE event_type IN ('error', 'purchase') AND user_id NOT IN (1, 2, 3) AND value >= 20 GROUP BY 1"),
+    "rule_wildcards": ('from events | search (event_type=*chas* OR event_type=s*up) NOT user_id=5 | stats count by event_type', "SELECT event_type, count(*) AS count FROM events WHERE (event_type LIKE '%chas%' OR event_type LIKE 's%up') AND user_id <> 5 GROUP BY 1"),
+    "rule_cidr": ('from events | eval src=f"10.{user_id}.0.9" | where cidrmatch("10.0.0.0/13", src) and not cidrmatch("10.4.0.0/16", src) | stats count by src', "SELECT '10.' || user_id || '.0.9' AS src, count(*) AS count FROM events WHERE user_id < 8 AND user_id <> 4 GROUP BY 1"),
+    "rule_brute_force": ('from events | where event_type="error" | bin _time span=1d as day | stats count as failures by user_id, day | where failures >= 3', "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS day, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 3"),
+    "rule_keywords": ('from events | eval _raw=f"user {user_id} did {event_type}" | search (error OR "did click") NOT "user 7" | stats count', "SELECT count(*) AS count FROM events WHERE event_type IN ('error', 'click') AND NOT ('user ' || user_id || ' did ' LIKE '%user 7%')"),
+    "rule_exists": ('from events | eval f=if(value > 50, "on", null), g=(user_id = 3) | where isnotnull(f) and not g = true | stats count', 'SELECT count(*) AS count FROM events WHERE value > 50 AND user_id <> 3'),
+    # the other formats
+    "parse_clf": ('from events | eval line=f"10.0.0.{user_id} - - [10/Jan/2024:10:00:00 +0000] \\"GET /{event_type} HTTP/1.0\\" 404 {event_id}" | parse clf(line) | table event_id, client_ip, timestamp, method, uri, protocol, status, bytes', "SELECT event_id, '10.0.0.' || user_id AS client_ip, '10/Jan/2024:10:00:00 +0000' AS timestamp, 'GET' AS method, '/' || event_type AS uri, 'HTTP/1.0' AS protocol, 404::BIGINT AS status, event_id AS bytes FROM events"),
+    "parse_nginx_error": ('from events | eval line=f"2024/01/10 10:00:00 [error] {user_id}#7: *{event_id} open() failed, client: 10.0.0.{user_id}, server: web, request: \\"GET /{event_type} HTTP/1.1\\"" | parse nginx_error(line) | table event_id, timestamp, severity, pid, tid, cid, message, client, server, request', "SELECT event_id, '2024/01/10 10:00:00' AS timestamp, 'error' AS severity, user_id AS pid, 7::BIGINT AS tid, event_id AS cid, 'open() failed' AS message, '10.0.0.' || user_id AS client, 'web' AS server, 'GET /' || event_type || ' HTTP/1.1' AS request FROM events"),
+    "parse_apache_error": ('from events | eval line=f"[Fri Sep 09 10:42:29 2011] [core:error] [pid {event_id}:tid 4] [client 10.0.0.{user_id}:99] AH00128: {event_type} missing" | parse apache_error(line) | table event_id, timestamp, module, severity, pid, tid, client_ip, client_port, error_code, message', "SELECT event_id, 'Fri Sep 09 10:42:29 2011' AS timestamp, 'core' AS module, 'error' AS severity, event_id AS pid, 4::BIGINT AS tid, '10.0.0.' || user_id AS client_ip, 99::BIGINT AS client_port, 'AH00128' AS error_code, event_type || ' missing' AS message FROM events"),
+    "parse_cef": ('from events | eval line=f"CEF:0|V|P|1.0|100|log in|5|src=10.0.0.{user_id} msg=two {event_type} cnt={event_id}" | parse cef(line) | table event_id, device_vendor, device_product, device_version, signature_id, name, severity, src, msg, cnt', "SELECT event_id, 'V' AS device_vendor, 'P' AS device_product, '1.0' AS device_version, '100' AS signature_id, 'log in' AS name, '5' AS severity, '10.0.0.' || user_id AS src, 'two ' || event_type AS msg, event_id::VARCHAR AS cnt FROM events"),
+    "parse_leef": ('from events | eval line=f"LEEF:2.0|V|P|1|{event_id}|^|src=10.0.0.{user_id}^usr={event_type}" | parse leef(line) | table device_vendor, device_product, event_id, src, usr', "SELECT 'V' AS device_vendor, 'P' AS device_product, event_id AS event_id, '10.0.0.' || user_id AS src, event_type AS usr FROM events"),
+    "parse_docker": ('from events | eval line=json_object("log", event_type, "stream", "stdout", "time", "2024-01-01T00:00:00Z") | parse docker(line) | table event_id, log, stream, time', "SELECT event_id, event_type AS log, 'stdout' AS stream, '2024-01-01T00:00:00Z' AS time FROM events"),
+    "parse_redis": ('from events | eval line=f"{event_id}:C 01 Jan 2026 10:00:00.123 # {event_type} done" | parse redis(line) | table event_id, pid, role_char, role, timestamp, level_char, level, message', "SELECT event_id, event_id AS pid, 'C' AS role_char, 'rdb_child' AS role, '01 Jan 2026 10:00:00.123' AS timestamp, '#' AS level_char, 'warning' AS level, event_type || ' done' AS message FROM events"),
+    "parse_postgres": ('from events | eval line=f"2024-01-01 10:00:00.1 UTC [{event_id}] u{user_id}@db LOG:  duration: 1.5 ms  statement: SELECT {event_type}" | parse postgres(line) | table event_id, pid, user, database, severity, duration_ms, statement', 'SELECT event_id, event_id AS pid, \'u\' || user_id AS "user", \'db\' AS database, \'LOG\' AS severity, 1.5::DOUBLE AS duration_ms, \'SELECT \' || event_type AS statement FROM events'),
+    "parse_mysql_slow": ('from events | eval line=f"# Time: 2024-01-01T00:00:00Z\\n# User@Host: u{user_id}[x] @ h [1.2.3.4]  Id: {event_id}\\n# Query_time: 2.5  Lock_time: 0.1 Rows_sent: 1  Rows_examined: 9\\nuse shop;\\nSELECT {event_type};" | parse mysql_slow(line) | table event_id, user, host, client_ip, connection_id, query_time, lock_time, rows_sent, rows_examined, schema, statement', 'SELECT event_id, \'u\' || user_id AS "user", \'h\' AS host, \'1.2.3.4\' AS client_ip, event_id AS connection_id, 2.5::DOUBLE AS query_time, 0.1::DOUBLE AS lock_time, 1::BIGINT AS rows_sent, 9::BIGINT AS rows_examined, \'shop\' AS schema, \'SELECT \' || event_type AS statement FROM events'),
+    "parse_haproxy": ('from events | eval line=f"10.0.0.{user_id}:99 [01/Jan/2024:00:00:00.1] fe be/s{user_id} 1/2/3/4/10 200 {event_id} - - ---- 9/8/7/6/+5 0/0 \\"GET /{event_type} HTTP/1.1\\"" | parse haproxy(line) | table event_id, client_ip, client_port, frontend, backend, server, tq, tw, tc, tr, tt, status, bytes, actconn, feconn, beconn, srv_conn, retries, method, uri, protocol', "SELECT event_id, '10.0.0.' || user_id AS client_ip, 99::BIGINT AS client_port, 'fe' AS frontend, 'be' AS backend, 's' || user_id AS server, 1::BIGINT AS tq, 2::BIGINT AS tw, 3::BIGINT AS tc, 4::BIGINT AS tr, 10::BIGINT AS tt, 200::BIGINT AS status, event_id AS bytes, 9::BIGINT AS actconn, 8::BIGINT AS feconn, 7::BIGINT AS beconn, 6::BIGINT AS srv_conn, 5::BIGINT AS retries, 'GET' AS method, '/' || event_type AS uri, 'HTTP/1.1' AS protocol FROM events"),
+    "parse_w3c": ('from events | eval line=f"2024-01-01 GET /{event_type}+x u{user_id} -" | parse w3c(line, header="#Fields: date method uri username note") | fillnull value="none" note | table event_id, date, method, uri, username, note', "SELECT event_id, '2024-01-01' AS date, 'GET' AS method, '/' || event_type || ' x' AS uri, 'u' || user_id AS username, 'none' AS note FROM events"),
 }
 
 

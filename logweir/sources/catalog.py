@@ -54,14 +54,19 @@ class Catalog:
             return self.spark.createDataFrame([], "_time timestamp_ntz, _raw string, index string")
         return self.providers[name]()
 
-    def scan(self, source: Source) -> DataFrame:
-        """One index as it is; of several, or of patterns, the union with the name in the column index."""
+    def scan(self, source: Source, placed: bool = False) -> DataFrame:
+        """One index as it is; of several, or of patterns, the union with the name in the column index.
+
+        placed: with the hidden column of the rows' places, where all of the indexes have it.
+        """
         names = self.names(source.names)
         if not names:
             return self.read("")
-        if len(names) == 1 and names == source.names:
-            return self.read(names[0])
-        return sets.union([self.read(n).withColumn("index", F.lit(n)) for n in names])
+        one = len(names) == 1 and names == source.names
+        parts = [order.placed(self.read(n)) if placed else self.read(n) for n in names]
+        if any(order.PLACE not in p.columns for p in parts):
+            parts = [p.drop(order.PLACE) for p in parts]
+        return parts[0] if one else sets.union([p.withColumn("index", F.lit(n)) for p, n in zip(parts, names, strict=True)])
 
     def record(self, text: str, commands: list[str]) -> None:
         self.log.append({"query_id": len(self.log) + 1, "submitted": datetime.now(UTC).replace(tzinfo=None), "query": text, "operators": commands})
