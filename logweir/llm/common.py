@@ -58,12 +58,15 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage and is computed once. It goes when its scope or Spark ends."""
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+    """df as a table in the shared folder: it cuts lineage and is computed once. It goes when its scope or Spark ends.
+
+    compression: "none" for hashes, which do not get smaller.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     with settings(spark, BATCHES):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     p, fs = _file_system(spark, path)
     fs.deleteOnExit(p)
     if _scopes:
@@ -83,11 +86,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             fs.delete(p, True)
 
 
-def outlives(df: DataFrame, tag: str) -> DataFrame:
+def outlives(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """A written table of the scope around the innermost one."""
     inner = _scopes.pop()
     try:
-        return written(df, tag)
+        return written(df, tag, compression)
     finally:
         _scopes.append(inner)
 

@@ -159,7 +159,7 @@ def _regions(docs: DataFrame, bitmap, masks: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     t = common.id_and_text(docs).mapInArrow(scan, "uid long, doc_id long, key long, start int, n_words int, tokens array<long>, seeds array<long>, places array<int>")
-    return common.written(t.withColumn("region", F.struct("uid", "start")), "bench-regions")
+    return common.written(t.withColumn("region", F.struct("uid", "start")), "bench-regions", "none")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
