@@ -21,6 +21,9 @@ BROADCAST_ROWS = 500_000
 #: While a table is written: bytes of an Arrow batch and rows of a Parquet batch, so that long texts do not add up in memory.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
+#: Bytes of a Parquet row group of a written table, which a task holds in memory while it writes or reads it.
+ROW_GROUP = 4 << 20
+
 _scopes: list[list[str]] = []
 
 
@@ -66,7 +69,7 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     with settings(spark, BATCHES):
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(**{"compression": compression, "parquet.block.size": ROW_GROUP}).parquet(path)
     p, fs = _file_system(spark, path)
     fs.deleteOnExit(p)
     if _scopes:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Fingerprints that a sender holds in memory at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Fingerprints that an owner holds in memory at once, on average.
 OWNED = 1 << 22
 
@@ -83,27 +84,32 @@ def light_table(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 def duplicated_fingerprints(light: DataFrame, owners: int | None = None) -> DataFrame:
     """fp: the fingerprints that more than one row of light has. A written table."""
-    spark = light.sparkSession
-    owners = min(1 << 16, owners or max(common.shuffle_partitions(spark), -(-light.count() // OWNED)))
+    values = lambda batches: (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches)
+    return duplicated(light.select("fp"), values, light.count() if owners is None else 0, owners)
+
+
+def duplicated(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, owners: int | None = None) -> DataFrame:
+    """fp: the numbers that occur more than once among the (about `size`) ones that `values` takes from df. A written table."""
+    owners = min(1 << 16, owners or max(common.shuffle_partitions(df.sparkSession), -(-size // OWNED)))
     edges = [-(-(i << 64) // owners) for i in range(owners)] + [1 << 64]
 
     def send(batches):
         sender, held, size = TaskContext.get().partitionId() << 20, [], 0
 
         def lists():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = [0, *np.searchsorted(values, np.array(edges[1:-1], np.uint64)), len(values)]
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            cuts = [0, *np.searchsorted(found, np.array(edges[1:-1], np.uint64)), len(found)]
             rows = []
             for o, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if z > a:
-                    k, unary, rest = rice_encode(values[a:z], edges[o])
+                    k, unary, rest = rice_encode(found[a:z], edges[o])
                     rows.append((o, sender, z - a, k, unary, rest, np.packbits(times[a:z] > 1).tobytes()))
             return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "twice"]), schema=schema, preserve_index=False)
 
         schema = pa.schema([("owner", pa.int32()), ("sender", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("unary", pa.binary()), ("rest", pa.binary()), ("twice", pa.binary())])
-        for b in batches:
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            size += b.num_rows
+        for part in values(batches):
+            held.append(part)
+            size += len(part)
             if size >= CHUNK:
                 yield lists()
                 held, size, sender = [], 0, sender + 1
@@ -127,7 +133,7 @@ def duplicated_fingerprints(light: DataFrame, owners: int | None = None) -> Data
                     values = rice_decode(r["n"], r["k"], r["unary"], r["rest"], edges[r["owner"]])[flags]
                     yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["fp"])
 
-    sent = common.written(light.select("fp").mapInArrow(send, "owner int, sender long, n int, k int, unary binary, rest binary, twice binary"), "exact-sent")
+    sent = common.written(df.mapInArrow(send, "owner int, sender long, n int, k int, unary binary, rest binary, twice binary"), "exact-sent")
     answers = sent.groupBy("owner").applyInPandas(own, "owner int, sender long, answer binary")
     found = sent.drop("twice").join(answers, ["owner", "sender"]).mapInArrow(marked, "fp long")
     return common.written(found.distinct(), "exact-fps")

@@ -2,20 +2,21 @@
 
 Base: four kinds of spans by fixed patterns. Their values are the protected entities. The method estimates from
 the whole corpus how much a term discloses an entity: with n texts, n(e) with the entity, n(t) with the term and n(t, e)
-with both, wherever in the text they stand,
+with both, wherever in the text they stand, a reader who meets the term is left with
 
-    disclosure(t, e) = log(n(t, e) n / (n(t) n(e))) / log(n / n(e))
+    h(e | t) = log2(n(t) / n(t, e))
 
-which is the pointwise mutual information as a share of the entity's information; 1 means that the term occurs
-only with the entity. Terms (words of LETTERS letters or more) at GENERALISE or above are spans of kind ``term`` wherever they
+bits of doubt about the entity, while log2(n / n(e)) were there before. The disclosure is 2^-h, the share of the term's
+texts that have the entity; it does not depend on the corpus's size. It counts if the term takes away a bit at least. Terms
+(words of LETTERS letters or more) at GENERALISE (a bit of doubt is left) or above are spans of kind ``term`` wherever they
 stand, and are replaced by a placeholder; at REMOVE or above they are removed.
 
 Equal texts count once in all figures: each of m equal rows counts 1 / m, so texts need not meet to be counted. A pair needs
 SUPPORT different texts, which keeps chance meetings out; so an entity in fewer texts discloses nothing.
 
-Texts are scanned three times: for the base (which also notes the terms of texts with entities, and of one text in SHARE), to
-count the terms that may reach the threshold in all texts, and to place the revealing ones, where any stand. The noted terms
-bound n(t) from below, so only pairs go that cannot reach the threshold. What is shuffled are digests, entities,
+Texts are scanned for the base (which also notes the terms of texts with entities, and of one text in SHARE), then to
+count the terms that may reach the threshold in all texts; texts in which revealing ones stand, once more for the words as they are
+written there and once for their places. The noted terms bound n(t) from below, so only pairs go that cannot reach the threshold. What is shuffled are digests, entities,
 terms and counts, combined before the shuffle; pairs are made within one text only, one after the other.
 
 The patterns below accept exactly what the plain ones do, but cannot be tried again inside a run that failed
@@ -44,7 +45,7 @@ IP_HINT, CARD_HINT = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"[0-9](?:[ -]?[0-9]){15
 SHARE = 16
 #: Letters of a term; different texts that a pair needs.
 LETTERS, SUPPORT = 4, 3
-GENERALISE, REMOVE = 0.6, 0.9
+GENERALISE, REMOVE = 0.5, 0.9
 TERM = r"\p{L}{%d,}+" % LETTERS
 
 #: Matches whose places are summed up together.
@@ -146,8 +147,7 @@ def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, genera
     entities = common.written(_texts(near.select("h", "entity"), repeated, "entity").where(F.col("n") >= support).withColumnRenamed("n", "n_e"), "pii-entities")
     met = near.join(common.small(entities.select("entity")), "entity", "left_semi").select("h", "entity", F.explode("terms").alias("term"))
     pairs = common.written(_texts(met, repeated, "entity", "term").where(F.col("n") >= support).withColumnRenamed("n", "n_te"), "pii-pairs")
-    info = F.log(F.lit(n) / F.col("n_e"))
-    share = lambda n_t: F.when(info > 0, F.log(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e"))) / info).otherwise(0.0)
+    share = lambda n_t: F.when(F.col("n_te") * F.lit(n) >= 2 * F.col(n_t) * F.col("n_e"), F.col("n_te") / F.col(n_t)).otherwise(0.0)
     # n(t) is at least n(t, e), and at least the number of noted texts that have t
     seen = _texts(light.where("terms is not null").select("h", F.explode("terms").alias("term")).join(common.small(common.written(pairs.select("term").distinct(), "pii-terms")), "term", "left_semi"), repeated, "term")
     bound = pairs.join(common.small(entities), "entity").join(seen.withColumnRenamed("n", "least_t"), "term")
@@ -174,11 +174,14 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
         terms, held = disclosure(docs, light, support, generalise)
         terms = common.small(terms)
         texts = common.written(held.join(terms, "term").select("h").distinct(), "pii-texts")
-        # one row for each text: of equal ones, every row gives the same places
-        words = F.explode(_places(F.col("text"), TERM, 4)).alias("s")
-        placed = _rows(docs).select("h", "text").join(common.small(texts), "h", "left_semi").select("h", words).select("h", F.lower("s.value").alias("term"), "s")
-        placed = placed.join(terms, "term").select("h", "s", "disclosure").distinct()
-        held = placed.groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("terms"), F.collect_set(F.when(F.col("disclosure") >= remove, F.lower("s.value"))).alias("removed"))
+        # of equal texts every row gives the same words and places, so one row for each text is enough
+        rows = _rows(docs).select("h", "text").join(common.small(texts), "h", "left_semi")
+        words = rows.select("h", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("word"))
+        words = words.join(terms, F.lower("word") == F.col("term")).select("h", "word", F.when(F.col("disclosure") >= remove, F.col("term")).alias("gone"))
+        words = common.written(words.groupBy("h").agg(F.collect_set("word").alias("words"), F.collect_set("gone").alias("removed")), "pii-words")
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array("words"), "|"), F.lit(r")(?!\p{L})"))
+        placed = rows.join(common.small(words, bound=common.BROADCAST_ROWS // 10), "h").select("h", "removed", _places(F.col("text"), pattern, 4).alias("terms"))
+        held = placed.groupBy("h").agg(F.any_value("terms").alias("terms"), F.any_value("removed").alias("removed"))
         held = common.outlives(held, "pii-places")
     r = light.select("doc_id", "h", "spans").join(common.small(held, bound=common.BROADCAST_ROWS // 10), "h", "left")
     free = F.filter(F.coalesce("terms", _none()), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
