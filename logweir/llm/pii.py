@@ -15,8 +15,8 @@ Equal texts count once in all figures: each of m equal rows counts 1 / m, so tex
 SUPPORT different texts, which keeps chance meetings out; so an entity in fewer texts discloses nothing.
 
 Texts are scanned for the base (which also notes the terms of texts with entities, and of one text in SHARE), then to
-count the terms that may reach the threshold in all texts; texts in which revealing ones stand, once more for the words as they are
-written there and once for their places. The noted terms bound n(t) from below, so only pairs go that cannot reach the threshold. What is shuffled are digests, entities,
+count the terms that may reach the threshold in all texts; texts in which revealing ones stand, once more for their places (in
+upper or lower case). The noted terms bound n(t) from below, so only pairs go that cannot reach the threshold. What is shuffled are digests, entities,
 terms and counts, combined before the shuffle; pairs are made within one text only, one after the other.
 
 The patterns below accept exactly what the plain ones do, but cannot be tried again inside a run that failed
@@ -46,6 +46,8 @@ SHARE = 16
 #: Letters of a term; different texts that a pair needs.
 LETTERS, SUPPORT = 4, 3
 GENERALISE, REMOVE = 0.5, 0.9
+#: Texts whose words or spans are broadcast.
+TEXTS = 50_000
 TERM = r"\p{L}{%d,}+" % LETTERS
 
 #: Matches whose places are summed up together.
@@ -173,17 +175,14 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
     with common.scratch(spark):
         terms, held = disclosure(docs, light, support, generalise)
         terms = common.small(terms)
-        texts = common.written(held.join(terms, "term").select("h").distinct(), "pii-texts")
-        # of equal texts every row gives the same words and places, so one row for each text is enough
-        rows = _rows(docs).select("h", "text").join(common.small(texts), "h", "left_semi")
-        words = rows.select("h", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("word"))
-        words = words.join(terms, F.lower("word") == F.col("term")).select("h", "word", F.when(F.col("disclosure") >= remove, F.col("term")).alias("gone"))
-        words = common.written(words.groupBy("h").agg(F.collect_set("word").alias("words"), F.collect_set("gone").alias("removed")), "pii-words")
-        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array("words"), "|"), F.lit(r")(?!\p{L})"))
-        placed = rows.join(common.small(words, bound=common.BROADCAST_ROWS // 10), "h").select("h", "removed", _places(F.col("text"), pattern, 4).alias("terms"))
+        words = held.join(terms, "term").groupBy("h").agg(F.sort_array(F.collect_set("term")).alias("words"), F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term"))).alias("removed"))
+        words = common.written(words, "pii-words")
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
+        # of equal texts every row gives the same places, so one row for each text is enough
+        placed = _rows(docs).select("h", "text").join(common.small(words, bound=TEXTS), "h").select("h", "removed", _places(F.col("text"), pattern, 4).alias("terms"))
         held = placed.groupBy("h").agg(F.any_value("terms").alias("terms"), F.any_value("removed").alias("removed"))
         held = common.outlives(held, "pii-places")
-    r = light.select("doc_id", "h", "spans").join(common.small(held, bound=common.BROADCAST_ROWS // 10), "h", "left")
+    r = light.select("doc_id", "h", "spans").join(common.small(held, bound=TEXTS), "h", "left")
     free = F.filter(F.coalesce("terms", _none()), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return r.select("doc_id", "h", F.concat("spans", free).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
 
@@ -197,7 +196,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans", "removed").dropDuplicates(["_id", "_h"])
         found = common.outlives(found, "pii-found")
     d = _rows(docs)
-    d = d.join(common.small(found, bound=common.BROADCAST_ROWS // 10), d["doc_id"].eqNullSafe(F.col("_id")) & (d["h"] == F.col("_h")), "left")
+    d = d.join(common.small(found, bound=TEXTS), d["doc_id"].eqNullSafe(F.col("_id")) & (d["h"] == F.col("_h")), "left")
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
