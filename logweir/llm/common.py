@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many narrow rows (some tens of bytes each) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: While a table is written: bytes of an Arrow batch and rows of a Parquet batch, so that long texts do not add up in memory.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 

@@ -168,7 +168,9 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_t
     items = _items(benchmark, item_id, item_text)
     known = _item_seeds(items)
     masks = sorted(r["mask"] for r in known.select("mask").distinct().collect())
-    regions = _regions(docs, spark.sparkContext.broadcast(bloom.build(known.select("seed"))), masks)
+    bitmap = spark.sparkContext.broadcast(bloom.build(known.select("seed")))
+    regions = _regions(docs, bitmap, masks)
+    bitmap.unpersist()
 
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("region", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     joined = hits.join(common.small(known.select("seed", "item_key", "item_pos")), "seed")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RATIO, MIN_PAGES = 0.3, 4
+#: Hosts whose lists are broadcast.
+HOSTS = 5_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 #: Applied in this order; blocks become line ends, other tags and what is not shown go.
@@ -66,7 +68,7 @@ def clean(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) ->
     p = common.written(pages.select("page_id", host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines")), "line-pages")
     with common.scratch(pages.sparkSession):
         found = common.outlives(boilerplate(p, ratio, min_pages), "line-found")
-    known = p.join(common.small(found, bound=common.BROADCAST_ROWS // 100), "host", "left")
+    known = p.join(common.small(found, bound=HOSTS), "host", "left")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", digest(x))))
     k = known.select("page_id", "host", "lines", kept.alias("kept"))
     return k.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

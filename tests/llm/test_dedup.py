@@ -72,6 +72,12 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
+def test_fingerprint_of_a_long_text():
+    rng = random.Random(8)
+    text = " ".join(f"W{rng.randrange(900)}" for _ in range(40_000))
+    assert simhash_golay.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
 def near_texts():
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(500)]

@@ -147,13 +147,14 @@ def test_toxic_documents_are_found(spark):
             w[rng.randrange(60)] = rng.choice(["scoundrel", "Rascals!", "rascal"])
         rows.append((i, " ".join(w)))
         labels.append((i, int(i % 4 == 0)))
-    d = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "rascal")], "doc_id long, text string")
+    d = spark.createDataFrame([*rows, rows[1], rows[4], (900, None), (901, ""), (None, "rascal"), (902, "rascal " * 100_000)], "doc_id long, text string").selectExpr("*", "1 as id", "2 as toxic", "3 as score")
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
     model = toxicity.fit(d, lab, learn)
     got = {r["doc_id"]: r["p"] for r in d.select("doc_id", toxicity.scorer(spark, model)("text").alias("p")).collect()}
     assert np.mean([(got[i]["score"] >= 0.5) == bool(y) for i, y in labels]) > 0.97
     assert got[900]["score"] == got[901]["score"] < 0.5 <= got[None]["score"] and got[None]["evidence"][0]["toxic"] == 1
+    assert got[902]["score"] >= 0.5 and d.select(toxicity.scorer(spark, model)("text").alias("p")).count() == 406
     assert toxicity.fit(d, lab.where("toxic = 0"), learn) is None and toxicity.fit(d.limit(0), lab, learn) is None
     assert d.select(toxicity.scorer(spark, None)("text").alias("p")).first()["p"]["score"] == 0.0
 
