@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ def outliers(df: DataFrame, field: str, method: str = "iqr", threshold: float =
     x = coerce.number(Compiler(df).field(field))
     d = df.withColumn("_x", x)
     if method == "iqr":
-        s = d.agg(F.count("_x").alias("_n"), F.percentile("_x", F.lit(0.25)).alias("_a"), F.percentile("_x", F.lit(0.75)).alias("_b"))
+        s = quantiles(d, "_x", {"_a": 0.25, "_b": 0.75})
         width = F.col("_b") - F.col("_a")
         score = F.greatest(F.col("_a") - F.col("_x"), F.col("_x") - F.col("_b"), F.lit(0.0)) / width
         valid = (F.col("_n") >= 4) & (width != 0)
@@ -49,8 +49,9 @@ def outliers(df: DataFrame, field: str, method: str = "iqr", threshold: float =
         s = d.agg(F.count("_x").alias("_n"), F.avg("_x").alias("_a"), F.stddev_samp("_x").alias("_b"))
         score, valid = F.abs(F.col("_x") - F.col("_a")) / F.col("_b"), (F.col("_n") >= 2) & (F.col("_b") > 0)
     else:
-        m = d.agg(F.count("_x").alias("_n"), F.percentile("_x", F.lit(0.5)).alias("_a"))
-        s = d.select("_x").crossJoin(F.broadcast(m)).agg(F.percentile(F.abs(F.col("_x") - F.col("_a")), F.lit(0.5)).alias("_b")).crossJoin(F.broadcast(m))
+        m = quantiles(d, "_x", {"_a": 0.5})
+        far = d.select("_x").crossJoin(F.broadcast(m)).select(F.abs(F.col("_x") - F.col("_a")).alias("_y"))
+        s = quantiles(far, "_y", {"_b": 0.5}).drop("_n").crossJoin(F.broadcast(m))
         score, valid = F.lit(0.6745) * F.abs(F.col("_x") - F.col("_a")) / F.col("_b"), (F.col("_n") >= 3) & (F.col("_b") > 0)
     d = d.crossJoin(F.broadcast(s)).withColumn("_score", F.coalesce(F.when(valid, score), F.lit(0.0)))
     d = d.withColumn("_outlier", F.col("_score") > F.lit(float(threshold)))
@@ -69,10 +70,11 @@ def correlate(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFra
     return d.agg(r.alias("_correlation"), F.lit(method).alias("_method"), F.count("*").alias("_n"), F.lit(a).alias("_field1"), F.lit(b).alias("_field2"))
 
 
-def _ranks(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
-    """Average rank of each value: values are counted, so only different ones are sorted, in ranges whose sizes are then added
-    up. The ranges' bounds are constants of the query, so a task that runs again deals values as before."""
-    counts = d.groupBy(name).count()
+def _places(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
+    """Each different value with its count and `first`, the number of smaller rows: values are counted, so only different
+    ones are sorted, in ranges whose sizes are then added up. The ranges' bounds are constants of the query, so a task that
+    runs again deals values as before."""
+    counts = d.where(F.col(name).isNotNull()).groupBy(name).count()
     bounds = sorted(set(counts.approxQuantile(name, [i / ranges for i in range(1, ranges)], 0.01)))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b <= F.col(name)))
     counts = counts.withColumn("_p", part)
@@ -80,7 +82,28 @@ def _ranks(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
     before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     run = F.sum("count").over(Window.partitionBy("_p").orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
     r = counts.withColumn("_run", F.coalesce(run, F.lit(0))).join(F.broadcast(before), "_p")
-    return r.select(name, (F.col("_before") + F.col("_run") + (F.col("count") + 1) / 2.0).alias(f"r{name}"))
+    return r.select(name, "count", (F.col("_before") + F.col("_run")).alias("first"))
+
+
+def _ranks(d: DataFrame, name: str) -> DataFrame:
+    """Average rank of each value."""
+    return _places(d, name).select(name, (F.col("first") + (F.col("count") + 1) / 2.0).alias(f"r{name}"))
+
+
+def quantiles(d: DataFrame, name: str, levels: dict[str, float]) -> DataFrame:
+    """One row: _n (values) and the exact quantiles under their names, between two values in proportion."""
+    p = _places(d, name)
+    p = p.crossJoin(F.broadcast(p.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_n"))))
+
+    def value(at: Column) -> Column:
+        return F.max(F.when((F.col("first") <= at) & (at < F.col("first") + F.col("count")), F.col(name)))
+
+    cols = [F.coalesce(F.max("_n"), F.lit(0)).alias("_n")]
+    for alias, level in levels.items():
+        at = F.lit(level) * (F.col("_n") - 1)
+        low, high, share = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        cols.append(((1 - share) * low + share * high).alias(alias))
+    return p.agg(*cols)
 
 
 #: Variable parts of log lines, replaced by a wildcard in this order.

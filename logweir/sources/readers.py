@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +92,27 @@ def parse_es_bulk(lines: DataFrame) -> DataFrame:
     return d.select(to_time(time).alias("_time"), "_raw", meta.alias("index"))
 
 
+ACTION = r'^\s*\{\s*"(index|create|update|delete)"\s*:\s*\{'
+
+
 def read_es_bulk(spark: SparkSession, path: str) -> DataFrame:
-    return parse_es_bulk(spark.read.text(path, wholetext=True).select(F.col("value").alias("body")))
+    """Documents of bulk files of any size, line by line: a line follows its action in the order of its file.
+
+    A document may look like an action. Of lines that look like actions one after the other, every second is a document;
+    a deletion has none.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("_raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where(F.trim("_raw") != "")
+    kind = F.regexp_extract("_raw", ACTION, 1)
+    lines = lines.withColumn("kind", kind).withColumn("ends", (F.col("kind").isin("", "delete")).cast("int"))
+    along = Window.partitionBy("file").orderBy("block", "line")
+    lines = lines.withColumn("run", F.sum("ends").over(along) - F.col("ends"))
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("file", "run").orderBy("block", "line")))
+    lines = lines.withColumn("acts", (F.col("kind") != "") & (F.col("place") % 2 == 1))
+    action = F.when(F.lag("acts").over(along) & F.lag("kind").over(along).isin("index", "create"), F.lag("_raw").over(along))
+    d = lines.withColumn("action", action).where("action is not null")
+    meta = F.coalesce(F.get_json_object("action", "$.index._index"), F.get_json_object("action", "$.create._index"))
+    time = F.coalesce(*[F.get_json_object("_raw", f"$['{n}']") for n in TIME_FIELDS])
+    return d.select(to_time(time).alias("_time"), "_raw", meta.alias("index"))
 
 
 def parse_hec(payloads: DataFrame) -> DataFrame:
@@ -130,14 +149,15 @@ def parse_syslog(lines: DataFrame, field: str = "_raw") -> DataFrame:
 
 
 def split_frames(body: Column) -> Column:
-    """Octet-counted frames ("7 <34>abc8 <35>hello", counted in characters here) or lines, as an array."""
+    """Octet-counted frames ("7 <34>abc8 <35>hello", counted in bytes of UTF-8) or lines, as an array."""
+    raw = body.cast("binary")
     zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def take(acc, _):
-        rest = body.substr(acc["at"], F.length(body))
-        size = F.regexp_extract(rest, r"^(\d+) <", 1)
+        head = F.substring(raw, acc["at"], F.lit(12)).cast("string")
+        size = F.regexp_extract(head, r"^(\d{1,9}) <", 1)
         start = acc["at"] + F.length(size) + 1
-        one = body.substr(start, size.cast("int"))
+        one = F.substring(raw, start, size.cast("int")).cast("string")
         return F.when(size == "", acc).otherwise(F.struct((start + size.cast("int")).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
     most = F.sequence(F.lit(1), F.size(F.split(body, " <", -1)))

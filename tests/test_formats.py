@@ -69,13 +69,17 @@ def test_readers(spark, tmp_path):
     bulk.write_text('{"index":{"_index":"web"}}\n{"@timestamp":1767225600,"m":"a"}\n{"create":{"_index":"app"}}\n{"m":"b"}\n')
     got = sorted((r["index"], r["_raw"]) for r in readers.read_es_bulk(spark, str(bulk)).collect())
     assert [g[0] for g in got] == ["app", "web"]
+    more = tmp_path / "c.ndjson"
+    more.write_text('{"delete":{"_index":"w"}}\n{"index":{"_index":"w"}}\n{"index":{"x":1}}\n\n{"update":{"_index":"w"}}\n{"doc":{}}\n{"create":{"_index":"w"}}\n{"n":2}\n' + '{"index":{"_index":"w"}}\n{"n":3}\n' * 500)
+    got = sorted(r["_raw"] for r in readers.read_es_bulk(spark, str(more)).collect())
+    assert got == ['{"index":{"x":1}}', '{"n":2}'] + ['{"n":3}'] * 500
     hec = spark.createDataFrame([('{"time":1767225600.5,"event":{"a":1},"host":"h","index":"i"}',)], "body string")
     assert readers.parse_hec(hec).first()["_raw"] == '{"a":1}'
     otlp = '{"resourceLogs":[{"resource":{"attributes":[{"key":"service","value":{"stringValue":"s"}}]},"scopeLogs":[{"scope":{"name":"n"},"logRecords":[{"timeUnixNano":"1767225600000000000","severityNumber":17,"body":{"stringValue":"boom"},"attributes":[]}]}]}]}'
     r = readers.parse_otlp(spark.createDataFrame([(otlp,)], "body string")).first()
     assert (r["_raw"], r["level"], r["resource"]["service"], r["_time"].year) == ("boom", "ERROR", "s", 2026)
-    framed = spark.createDataFrame([("7 <34>abc8 <35>defg",), ("<1>a\n<2>b",)], "b string").select(readers.split_frames(F.col("b")).alias("f")).collect()
-    assert [list(r["f"]) for r in framed] == [["<34>abc", "<35>defg"], ["<1>a", "<2>b"]]
+    framed = spark.createDataFrame([("7 <34>abc8 <35>defg",), ("<1>a\n<2>b",), ("7 <34>éa7 <35>abc",)], "b string").select(readers.split_frames(F.col("b")).alias("f")).collect()
+    assert [list(r["f"]) for r in framed] == [["<34>abc", "<35>defg"], ["<1>a", "<2>b"], ["<34>éa", "<35>abc"]]
     assert [readers.detect(x) for x in (["a=1 b=2"], ["<3>x"], ["a,b,c", "1,2,3"], ["what"])] == ["logfmt", "syslog", "csv", "plain"]
 
 
