@@ -151,7 +151,7 @@ def disclosure(docs: DataFrame, light: DataFrame, support: int = SUPPORT, genera
     pairs = common.written(_texts(met, repeated, "entity", "term").where(F.col("n") >= support).withColumnRenamed("n", "n_te"), "pii-pairs")
     share = lambda n_t: F.when(F.col("n_te") * F.lit(n) >= 2 * F.col(n_t) * F.col("n_e"), F.col("n_te") / F.col(n_t)).otherwise(0.0)
     # n(t) is at least n(t, e), and at least the number of noted texts that have t
-    seen = _texts(light.where("terms is not null").select("h", F.explode("terms").alias("term")).join(common.small(common.written(pairs.select("term").distinct(), "pii-terms")), "term", "left_semi"), repeated, "term")
+    seen = _texts(light.where("terms is not null").select("h", F.explode("terms").alias("term")), repeated, "term")
     bound = pairs.join(common.small(entities), "entity").join(seen.withColumnRenamed("n", "least_t"), "term")
     pairs = common.written(bound.where(share("least_t") >= generalise).drop("least_t"), "pii-pairs")
     wanted = common.written(pairs.select("term").distinct(), "pii-candidates")
