@@ -71,7 +71,7 @@ def correlate(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFra
 
 
 def _places(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
-    """Each different value with its count and `first`, the number of smaller rows: values are counted, so only different
+    """Each different value with its count, `first`, the number of smaller rows, and _n, that of all: values are counted, so only different
     ones are sorted, in ranges whose sizes are then added up. The ranges' bounds are constants of the query, so a task that
     runs again deals values as before."""
     counts = d.where(F.col(name).isNotNull()).groupBy(name).count()
@@ -79,10 +79,11 @@ def _places(d: DataFrame, name: str, ranges: int = 64) -> DataFrame:
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b <= F.col(name)))
     counts = counts.withColumn("_p", part)
     sizes = counts.groupBy("_p").agg(F.sum("count").alias("_s"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("_n", F.sum("_s").over(Window.partitionBy())).drop("_s")
     run = F.sum("count").over(Window.partitionBy("_p").orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
     r = counts.withColumn("_run", F.coalesce(run, F.lit(0))).join(F.broadcast(before), "_p")
-    return r.select(name, "count", (F.col("_before") + F.col("_run")).alias("first"))
+    return r.select(name, "count", (F.col("_before") + F.col("_run")).alias("first"), "_n")
 
 
 def _ranks(d: DataFrame, name: str) -> DataFrame:
@@ -93,7 +94,6 @@ def _ranks(d: DataFrame, name: str) -> DataFrame:
 def quantiles(d: DataFrame, name: str, levels: dict[str, float]) -> DataFrame:
     """One row: _n (values) and the exact quantiles under their names, between two values in proportion."""
     p = _places(d, name)
-    p = p.crossJoin(F.broadcast(p.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_n"))))
 
     def value(at: Column) -> Column:
         return F.max(F.when((F.col("first") <= at) & (at < F.col("first") + F.col("count")), F.col(name)))
