@@ -28,9 +28,7 @@ WINDOW = 128
 #: Bounds of the training sample: languages, documents of each, windows of each document.
 MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 500, 300, 4
 BATCH, RATE = 128, 0.02
-#: Documents of each language, not learned from, that tell how sure the network is of documents in a language.
-CALIBRATION = 500
-#: Where a text is rejected, between a score by chance (0) and the least sure of these documents (1).
+#: Where a text is rejected, between a score by chance (0) and the least sure of all labelled documents that were not learned from (1).
 REJECT = 0.5
 
 
@@ -239,44 +237,50 @@ def scorer(net: Network | None):
     return score
 
 
+def _scored(docs: DataFrame, learn: Column, net: Network | None) -> DataFrame:
+    """doc_id, key (the text's XXH64), und, score, right (the network finds the label of a text that it did not learn from): a row for each row of docs. A written table."""
+
+    def scan(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in part.column(1)]
+                langs, scores = predict(net, texts)
+                keys = np.array([xxhash.xxh64_intdigest(t or b"", 42) for t in texts], np.uint64).view(np.int64)
+                right = [x == lang and s > 0 for x, lang, s in zip(part.column(2).to_pylist(), langs, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([x == "und" for x in langs], pa.bool_()), pa.array(scores, pa.float64()), pa.array(right, pa.bool_())], ["doc_id", "key", "und", "score", "right"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.when(~learn, F.col("lang")).cast("string").alias("label"))
+    return common.written(d.mapInArrow(scan, "doc_id long, key long, und boolean, score double, right boolean"), "language-scored")
+
+
+def _least(scored: DataFrame) -> float:
+    return scored.where("right").agg(F.min("score")).first()[0] or 0.0
+
+
 def least_sure(docs: DataFrame, learn: Column, net: Network) -> float:
-    """The lowest score among a bounded, hash-chosen sample of labelled documents that the network did not learn from.
+    """The lowest score among all labelled documents that the network did not learn from.
 
     Documents in which the network finds another language than their label are left out.
     """
-    d = docs.select("doc_id", "text", "lang").where(~learn & F.col("lang").isin(net.langs) & (F.length("text") > 0))
-    counts = d.groupBy("lang").count().collect()
-    if not counts:
-        return 0.0
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, CALIBRATION / r["count"]))])
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(1 << 30)) / float(1 << 30)
-    seen = d.where(luck < share[F.col("lang")]).select("lang", scorer(net)("text").alias("p")).where(F.col("p.lang_pred") == F.col("lang"))
-    return seen.agg(F.min("p.score")).first()[0] or 0.0
+    with common.scratch(docs.sparkSession):
+        return _least(_scored(docs.where(~learn & F.col("lang").isin(net.langs) & (F.length("text") > 0)), learn, net))
 
 
 def reject_others(docs: DataFrame, learn: Column, reject: float = REJECT) -> DataFrame:
     """docs without rows that are ``und``, or in which the network is about as unsure as by chance. Columns as they are.
 
     Without labelled rows there is no network, and every row goes. Rows of one id go by their texts.
+    One scan scores every text; how unsure is too unsure is read from these scores.
     """
     net = fit(docs, learn)
-    least = 0.0
-    if net is not None and len(net.langs) > 1:
-        chance = 1 / len(net.langs)
-        least = chance + reject * max(0.0, least_sure(docs, learn, net) - chance)
-
-    def scan(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in part.column(1)]
-                langs, scores = predict(net, texts)
-                gone = [j for j, lang in enumerate(langs) if lang == "und" or scores[j] < least]
-                keys = np.array([xxhash.xxh64_intdigest(texts[j] or b"", 42) for j in gone], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(gone, pa.int64())), pa.array(keys)], ["doc_id", "key"])
-
     with common.scratch(docs.sparkSession):
-        gone = common.outlives(common.id_and_text(docs).mapInArrow(scan, "doc_id long, key long").distinct(), "language-gone")
+        scored = _scored(docs, learn, net)
+        least = 0.0
+        if net is not None and len(net.langs) > 1:
+            chance = 1 / len(net.langs)
+            least = chance + reject * max(0.0, _least(scored) - chance)
+        gone = common.outlives(scored.where(F.col("und") | (F.col("score") < least)).select("doc_id", "key").distinct(), "language-gone")
     return common.without(docs, gone)
 
 

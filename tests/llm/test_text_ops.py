@@ -63,6 +63,18 @@ def test_languages_are_learned(spark):
     assert d.select(language_id.scorer(None)("text").alias("p")).first()["p"]["lang_pred"] == "und"
 
 
+def test_least_sure_of_all_documents(spark):
+    """More documents of a language than any sample of them held."""
+    rng = random.Random(8)
+    rows = [(i, letters(rng, "abcdeé" if i % 2 else "cdepqrst", rng.randrange(3, 12)), "x" if i % 2 else "y") for i in range(4000)]
+    net = language_id.train(np.array([np.frombuffer(t.encode().ljust(128, b"\0")[:128], np.uint8) for _, t, _ in rows[:200]]), np.array([0, 1] * 100)[::-1], ["x", "y"], steps=40)
+    langs, scores = language_id.predict(net, [t.encode() for _, t, _ in rows])
+    right = [x == lang and i >= 200 for (i, _, lang), x in zip(rows, langs, strict=True)]
+    assert sum(right) > 3000
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.least_sure(d, F.col("doc_id") < 200, net) == pytest.approx(scores[right].min(), abs=1e-6)
+
+
 def test_all_positions_count():
     net = language_id.train(np.frombuffer(b"aaaa" * 32 + b"bbbb" * 32, np.uint8).reshape(2, 128).copy(), np.array([0, 1]), ["a", "b"], steps=60)
     long = b"a" * 1000 + b"b" * 3000
