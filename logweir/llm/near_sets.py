@@ -16,10 +16,13 @@ shingles with hash i modulo the sketch's size (at least n), so two sketches diff
 shingles, and pairs that differ in more bits than similar sets can in shingles are out, exactly. The rest is verified on
 the whole sets.
 
-A shingle in the prefixes of more than HOT sets goes another exact way. Its sets are first compared with one of
-them, the centre, and joined into components with all other links found so far. Then only pairs of different components are
-compared, and of these only pairs whose distances to the centre (or the sketches' bounds of them) allow a link, as
-Jaccard distance is a metric. So a large group of near copies costs its size, not its square.
+Shingles in the prefixes of more than HOT sets go another exact way. Their sets form groups, a shingle's sets in one, and each
+group has a centre: the shingles that most of its sets have (by the majorities of chunks; any centre would do). A set is
+then known by its d shingles that differ from the centre's, and with f = 9 d - n for similarity 4/5 two sets are similar
+just when f_x + f_y <= 18 times the differing shingles they share. If f_x + f_y <= 0, both are similar to the set of least f
+too, the hub, so links to the hub do for all such pairs. Other pairs share some differing shingle, (f_x + f_y) / 18 at least, and are found by
+prefix filtering over these, rarest of the group first, between sets that are not connected yet. What most copies have in common is out
+then, so a large group of near copies costs its size and what changed, not its square.
 
 Equal sets count once. Defined cases: null texts and texts without words have the empty set and are linked with each
 other; fewer than five words are one shingle; a component's smallest doc_id stays, a null one only where there is no other.
@@ -258,6 +261,90 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def _majority(batches, chunk: int = 1 << 18):
+    """Rows (g, tokens) -> g, token, w: shingles that over half of a group's w sets of a chunk have."""
+
+    def out(groups, lists):
+        n = [len(x) for x in lists]
+        tokens, owners = np.concatenate(lists), np.repeat(np.array(groups, np.int64), n)
+        order = np.lexsort((tokens, owners))
+        tokens, owners = tokens[order], owners[order]
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(tokens) != 0) | (np.diff(owners) != 0)) + 1])
+        times = np.diff(np.append(starts, len(tokens)))
+        found, sets = np.unique(groups, return_counts=True)
+        w = sets[np.searchsorted(found, owners[starts])]
+        most = times * 2 > w
+        return pa.RecordBatch.from_arrays([pa.array(owners[starts][most]), pa.array(tokens[starts][most]), pa.array(w[most])], ["g", "token", "w"])
+
+    groups, lists, size = [], [], 0
+    for b in batches:
+        for g, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            groups.append(g)
+            lists.append(x.values.to_numpy(zero_copy_only=False))
+            size += len(lists[-1])
+            if size >= chunk:
+                yield out(groups, lists)
+                groups, lists, size = [], [], 0
+    if groups:
+        yield out(groups, lists)
+
+
+def _away(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, uid, n, f, away: the sets of each group, with the shingles in which they differ from its centre. A written table."""
+    num, den = SIMILARITY
+    first = common.written(members.groupBy("token").agg(F.min("uid").alias("first")), "near-first")
+    least = common.written(members.join(common.small(first), "token").groupBy("uid").agg(F.min("first").alias("g")), "near-least")
+    named = common.written(members.select("token", "uid").join(common.small(least), "uid").groupBy("token").agg(F.min("g").alias("g")), "near-named")
+    within = common.written(members.join(common.small(named), "token").select("g", "uid").distinct(), "near-within")
+    own = common.written(sets.select("uid", "n", "tokens").join(common.small(within), "uid").select("g", "uid", "n", "tokens"), "near-own", "none")
+    total = common.written(within.groupBy("g").agg(F.count("*").alias("n_sets")), "near-groups")
+    votes = own.select("g", "tokens").mapInArrow(_majority, "g long, token long, w long").groupBy("g", "token").agg(F.sum("w").alias("w"))
+    centres = common.written(votes.join(common.small(total), "g").where(F.col("w") * 2 > F.col("n_sets")).groupBy("g").agg(F.collect_list("token").alias("centre")), "near-centres")
+
+    def differ(batches):
+        none = np.zeros(0, np.int64)
+        for b in batches:
+            centre = [c.values.to_numpy(zero_copy_only=False) if c.is_valid else none for c in b.column(4)]
+            away = [np.setxor1d(x.values.to_numpy(zero_copy_only=False), c, assume_unique=True) for x, c in zip(b.column(3), centre, strict=True)]
+            f = np.array([len(x) for x in away], np.int64) * (num + den) - b.column(2).to_numpy() * (den - num)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(f), pa.array(away, pa.list_(pa.int64()))], ["g", "uid", "n", "f", "away"])
+
+    longs = (centres.agg(F.sum(F.size("centre"))).first()[0] or 0) // 8
+    full = own.join(common.small(centres, longs), "g", "left").select("g", "uid", "n", "tokens", "centre")
+    return common.written(full.mapInArrow(differ, "g long, uid long, n long, f long, away array<long>"), "near-away", "none")
+
+
+def _of_crowds(members: DataFrame, sets: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of sets under one shingle (token, uid), and the pairs that may be linked besides: a, b. Links found so far count."""
+    num, den = SIMILARITY
+    away = _away(members, sets)
+    hubs = common.written(away.groupBy("g").agg(F.min(F.struct("f", "uid")).alias("top")).select("g", F.col("top.f").alias("f_hub"), F.col("top.uid").alias("hub")), "near-hubs")
+    star = common.written(away.select("g", "uid", "f").join(common.small(hubs), "g").where((F.col("f") + F.col("f_hub") <= 0) & (F.col("uid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "near-star")
+
+    roots = components(found.unionAll(star))
+    named = common.written(hubs.join(common.small(roots), F.col("hub") == F.col("node"), "left").select("g", "f_hub", F.coalesce("root", "hub").alias("hub_root")), "near-hub-roots")
+    placed = away.select("g", "uid", "n", "f", F.size("away").alias("d")).join(common.small(roots.withColumnRenamed("node", "uid")), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    placed = common.written(placed.join(common.small(named), "g"), "near-placed")
+    far = common.written(placed.where("root <> hub_root").groupBy("g").agg(F.min("f").alias("f_far")), "near-far")
+
+    parts = away.join(common.small(far), "g", "left_semi").select("g", "uid", F.explode("away").alias("token"))
+    times = common.written(parts.groupBy("g", "token").agg(F.count("*").alias("times")).where("times > 1"), "near-times")
+    lists = parts.join(common.small(times), ["g", "token"]).groupBy("g", "uid").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("list"))
+    ranked = lists.join(common.small(placed), ["g", "uid"]).join(common.small(far), "g")
+    ranked = ranked.select("g", "uid", "n", "f", "d", "root", "f_hub", "hub_root", "f_far", F.size("list").alias("m"), F.posexplode("list").alias("i", "e"))
+    least = lambda total: F.greatest(F.lit(1), F.ceil(total / (2 * (num + den))))  # noqa: E731  shingles away from the centre that similar sets share
+    ranked = ranked.withColumn("at", F.col("d") - F.col("m") + F.col("i"))  # what one set alone has comes first
+    lesser = F.col("d") - least(F.col("f") + F.greatest("f", "f_far"))
+    greater = F.col("d") - least(F.col("f") + F.when(F.col("root") == F.col("hub_root"), F.col("f_far")).otherwise(F.col("f_hub")))
+    ranked = ranked.select("g", F.col("e.token").alias("token"), "uid", "n", "f", "d", "root", "at", (F.col("at") <= lesser).alias("low"), (F.col("at") <= greater).alias("high")).where("low or high")
+    ranked = common.written(ranked, "near-ranked")
+    x, y = (ranked.where(side).select("g", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", "n", "f", "d", "root", "at")]) for s, side in (("x", "low"), ("y", "high")))
+    need = least(F.col("f_x") + F.col("f_y"))
+    fit = (F.struct("f_x", "uid_x") < F.struct(F.col("f_y").alias("f_x"), F.col("uid_y").alias("uid_x"))) & (F.col("root_x") != F.col("root_y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num) & (F.col("at_x") <= F.col("d_x") - need) & (F.col("at_y") <= F.col("d_y") - need)
+    pairs = x.hint("merge").join(y, (x["g"] == y["g"]) & (x["token"] == y["token"]) & fit)
+    return star, pairs.select(F.least("uid_x", "uid_y").alias("a"), F.greatest("uid_x", "uid_y").alias("b")).distinct()
+
+
 def links(sets: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """a, b: links between different sets (uid, n, fp, sketch, tokens), enough of them to connect all that are similar."""
     num, den = SIMILARITY
@@ -279,24 +366,9 @@ def links(sets: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
         return found
 
     members = common.written(keyed.join(common.small(crowded), "token", "left_semi"), "near-members")
-    centres = common.written(members.groupBy("token").agg(F.min("uid").alias("centre")), "near-centres")
-    rays = members.join(common.small(centres), "token")
-    bounded = _bounded(rays.where("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct(), sets)
-    star = _measured(bounded, sets)
-    found = found.unionAll(star.where("linked").select("a", "b"))
-
-    roots = components(found)
-    # similarity to the centre: exact where it was measured, else between 0 and the sketches' bound
-    known = bounded.where("not open").select("a", "b", F.lit(0.0).alias("low"), F.col("most").alias("high")).unionAll(star.select("a", "b", "similarity", "similarity"))
-    known = common.written(known.withColumnsRenamed({"a": "centre", "b": "uid"}), "near-known")
-    placed = rays.join(common.small(known), ["centre", "uid"], "left").select("token", "uid", "n", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-    placed = common.written(placed.join(common.small(roots.withColumnRenamed("node", "uid")), "uid", "left").select("token", "uid", "n", "low", "high", F.coalesce("root", "uid").alias("root")), "near-placed")
-    mixed = common.written(placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"), "near-mixed")
-    open_ = placed.join(common.small(mixed), "token", "left_semi")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", "n", "low", "high", "root")]) for s in "xy")
-    fit = (F.col("uid_x") < F.col("uid_y")) & (F.col("root_x") != F.col("root_y")) & (F.least("n_x", "n_y").cast("long") * den >= F.greatest("n_x", "n_y").cast("long") * num) & (F.greatest(F.col("low_x") - F.col("high_y"), F.col("low_y") - F.col("high_x")) <= 1 - num / den + 1e-9)
-    rest = _measured(_bounded(x.hint("merge").join(y, "token").where(fit).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b")).distinct(), sets), sets)
-    return found.unionAll(rest.where("linked").select("a", "b"))
+    star, pairs = _of_crowds(members, sets, found)
+    rest = _measured(_bounded(pairs, sets), sets)
+    return found.unionAll(star).unionAll(rest.where("linked").select("a", "b"))
 
 
 def decide(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:

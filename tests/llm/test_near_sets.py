@@ -81,3 +81,26 @@ def test_sketches_never_differ_more_than_sets():
         tokens = rng.integers(-(2**63), 2**63 - 1, n + m - common)
         x, y = tokens[:n], tokens[n - common :]
         assert near_sets.differing(near_sets.sketch(x), near_sets.sketch(y)) <= n + m - 2 * common
+
+
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(docs, monkeypatch):
+    """Copies of one text with up to nine changes, so that many are near each other and many are not."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    t = []
+    for k in range(300):
+        v = list(base)
+        for _ in range(1 + k % 9):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(2000)}"
+        t.append(" ".join(v))
+    for k in range(0, 300, 10):  # far from the rest, near each other
+        w = t[k + 8].split()
+        w[rng.randrange(len(w))] = f"y{k}"
+        t.append(" ".join(w))
+    want = brute(t)
+    assert 50 < len(set(want)) < 250
+    seen, plain = [], near_sets._bounded
+    monkeypatch.setattr(near_sets, "_bounded", lambda pairs, sets: (seen.append(pairs.count()), plain(pairs, sets))[1])
+    got = {r["doc_id"]: r for r in near_sets.decide(docs(t), 16, 8).collect()}
+    assert [got[i]["kept"] for i in range(len(t))] == [want[i] == i for i in range(len(t))]
+    assert seen[-1] < 3 * len(t), seen
