@@ -215,5 +215,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] < 4)
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(5)]
+    # a second parameter of the lambda, also one with a default, would be the place in the array
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    n = [F.size(of(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(5)]
     return r.select("doc_id", *n, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import re
@@ -236,6 +237,17 @@ def test_base_spans_agree_with_plain_patterns(docs):
     assert [[(s["start"], s["end"]) for s in r["spans"]] for r in pii.find(docs(long)).orderBy("doc_id").collect()] == [[], [], [], [(8 * i, 8 * i + 7) for i in range(25_000)], [(0, 200_003)]]
 
 
+def test_query_counts_every_kind(spark, docs, tmp_path):
+    """The query's counts and digest, for kinds that are missing, alone, and there more than once."""
+    card, ip, mail, phone = "4111 1111 1111 1111", "10.0.0.255", "a.b@c.example", "+49 (30) 1234-567"
+    texts = [f"x {ip} y", f"{card}; {ip}", f"{mail} {mail} {mail} {phone} and {phone}", f"{ip} {ip} {ip} {ip} {ip}", f"{mail} {ip} {card} {phone}", "none", "", None]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.query(spark, str(tmp_path)).collect():
+        want = brute_pii(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k, _ in PATTERNS] == [sum(s[0] == k for s in want) for k, _ in PATTERNS], r["doc_id"]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in want).encode()).hexdigest()
+
+
 def test_revealing_terms(docs):
     filler = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)} words stand here number" for i in range(60)]
     near = [f"{w} Zebulon wrote from zeb@farm.example yesterday {w}" for w in filler[:5]]
