@@ -146,3 +146,60 @@ def test_conditions_agree_with_two_valued_logic(ask, spark):
     df = spark.createDataFrame([(1, "a"), (None, "a"), (2, None), (None, None)], "n long, s string")
     for q, want in (("n > 0 or s = \"a\"", 3), ("not (n > 0 or s = \"a\")", 1), ("n != 1", 1), ("not n = 1", 3), ("n in (1, 2) and s = \"a\"", 1), ("n between 1 and 2", 2), ("not (n between 1 and 1)", 3), ("(n > 1) xor (s = \"a\")", 3), ("n = s", 1)):
         assert ask(df, f"| where {q} | stats count")[0]["count"] == want, q
+
+
+def plain_templates(lines, similarity):
+    """Every line against every template of its length."""
+    found = []
+    for pattern, count, example in lines:
+        words = pattern.split(" ")
+        best, share = None, 0.0
+        for t in found:
+            same = sum(a == b and a != "<*>" for a, b in zip(t[0], words, strict=True)) / len(words)
+            if same >= similarity and same > share:
+                best, share = t, same
+        if best is None:
+            found.append([words, count, example])
+        else:
+            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], words, strict=True)]
+            best[1] += count
+    return [(" ".join(w), n, e) for w, n, e in found]
+
+
+def test_templates_agree_with_plain_merging():
+    import random
+
+    from logweir.operators.analytics import Templates
+
+    rng = random.Random(5)
+    for similarity in (0.1, 0.34, 0.5, 0.6, 0.75, 1.0, 1.5):
+        for size in (1, 3, 5, 8):
+            lines = [(" ".join(rng.choice(["<*>", "a", "b", "c", f"w{rng.randrange(9)}", f"x{rng.randrange(99)}"]) for _ in range(size)), rng.randrange(1, 9), str(i)) for i in range(150)]
+            got = Templates(similarity)
+            for line in lines:
+                got.add(*line)
+            assert list(got.rows()) == plain_templates(lines, similarity)
+
+
+def test_patterns_of_many_lines(ask, spark):
+    """Lines that cannot merge are not held against each other; long dotted numbers are variable; blank lines have no pattern."""
+    import time
+
+    n = 30_000
+    df = spark.range(n).selectExpr("concat('GET w', translate(string(id), '0123456789', 'abcdefghij'), ' for user at 10.0.0.', id, ':80 now') as _raw")
+    df = df.unionByName(spark.createDataFrame([(" \t\n",), ("",), (None,)], "_raw string"))
+    began = time.time()
+    got = ask(df, "| patterns similarity=1.0 max_templates=100000")
+    assert len(got) == n and {(r["count"], r["pattern"][-len(" for user at <*> now"):]) for r in got} == {(1, " for user at <*> now")}
+    assert time.time() - began < 60
+
+
+def test_patterns_of_many_first_words(ask, spark):
+    """Groups of lines are merged within one stream of a task; a call of Python for each of them costs milliseconds."""
+    df = spark.range(4000).selectExpr("concat('/p', translate(string(id), '0123456789', 'abcdefghij'), if(id % 2 = 0, '', ' x'), if(id % 4 = 1, ' y', '')) as _raw")
+    from logweir.operators import analytics
+
+    plan = analytics.patterns(df, max_templates=9999)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = ask(df.unionByName(df), "| patterns max_templates=9999")
+    assert len(got) == 4000 and {r["count"] for r in got} == {2}
