@@ -203,3 +203,23 @@ def test_patterns_of_many_first_words(ask, spark):
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
     got = ask(df.unionByName(df), "| patterns max_templates=9999")
     assert len(got) == 4000 and {r["count"] for r in got} == {2}
+
+
+def test_sketches_stand_beside_distinct_counts(ask, spark):
+    """estdc is not kept for each value of dc's field; nulls are groups, and columns keep their order."""
+    import re
+
+    from logweir.lang.ast import Agg, Field
+    from logweir.operators import aggregate
+
+    df = spark.range(3000).selectExpr("id % 700 as x", "nullif(id % 3, 2) as k", "id as n")
+    args = (Field("x"),)
+    plan = aggregate.stats(df, [Agg("estdc", args, "u"), Agg("dc", args, "d")], [])._jdf.queryExecution().executedPlan().toString()
+    mixed = [line for line in plan.split("\n") if "approx_count_distinct" in line and re.search(r"keys=\[[^\]]*(?:x#|id#|%)", line)]
+    assert "approx_count_distinct" in plan and not mixed
+    got = ask(df, "| stats estdc(x) as u, dc(x) as d, count, estdc(n) as v by k")
+    assert [list(r) for r in got] == [["k", "u", "d", "count", "v"]] * 3
+    assert {r["k"] for r in got} == {0, 1, None} and all(r["d"] == 700 and r["count"] == 1000 and abs(r["u"] - 700) < 30 and abs(r["v"] - 1000) < 40 for r in got)
+    alone = ask(df, "| stats estdc(x) as u")[0]["u"]
+    assert ask(df, "| stats dc(x) as d, estdc(x) as u") == [{"d": 700, "u": alone}]
+    assert ask(df.where("k > 9"), "| stats dc(x) as d, estdc(x) as u, estdc_error(x) as e") == [{"d": 0, "u": 0, "e": 0.0}]
