@@ -223,3 +223,43 @@ def test_sketches_stand_beside_distinct_counts(ask, spark):
     alone = ask(df, "| stats estdc(x) as u")[0]["u"]
     assert ask(df, "| stats dc(x) as d, estdc(x) as u") == [{"d": 700, "u": alone}]
     assert ask(df.where("k > 9"), "| stats dc(x) as d, estdc(x) as u, estdc_error(x) as e") == [{"d": 0, "u": 0, "e": 0.0}]
+
+
+def test_trees_of_many_traces(ask, spark):
+    """Traces over several batches and many in one; parents are missing, the span itself or on a cycle. No call of Python for each trace."""
+    import random
+
+    from logweir.operators import analytics
+
+    rng = random.Random(3)
+    rows = []
+    for t in range(300):
+        n = 700 if t == 9 else rng.randrange(1, 9)
+        for i in range(n):
+            rows.append((f"t{t}", f"s{i:03}", rng.choice(["", None, f"s{rng.randrange(n):03}", f"s{rng.randrange(n):03}", "gone"]), at(rng.randrange(50)), f"op{t}-{i}"))
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, _time timestamp_ntz, operation string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        plan = analytics.trace(df)._jdf.queryExecution().executedPlan().toString()
+        got = ask(df, "| trace")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for t in sorted({r[0] for r in rows}):
+        spans = sorted((r for r in rows if r[0] == t), key=lambda r: (r[3], r[1]))
+        ids, seen = {r[1] for r in spans}, set()
+
+        def below(r, depth):
+            if r[1] in seen:
+                return
+            seen.add(r[1])
+            want.append((t, r[4], depth))
+            for child in spans:
+                if child[2] == r[1] and child is not r:
+                    below(child, depth + 1)
+
+        for r in [r for r in spans if r[2] not in ids or r[2] == r[1]] + spans:
+            below(r, 0)
+    assert [(r["trace"], r["operation"], r["_span_depth"]) for r in got] == want
+    assert all(r["_span_tree"].endswith(r["operation"]) for r in got)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
