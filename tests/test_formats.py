@@ -91,3 +91,38 @@ def test_sinks(spark, tmp_path):
         assert "y" in sinks.render(df, f) or f == "raw"
     sinks.write(df, str(tmp_path / "o"), "tsv")
     assert spark.read.csv(str(tmp_path / "o"), header=True, sep="\t").count() == 2
+
+
+def test_groups_of_one_match(spark):
+    """Groups that are taken from one match are those of regexp_extract, also of texts with the separator, lines and no match."""
+    cases = [
+        (r"([a-z]+)=(\d+)?;(x|(y))?", 4, ["a=1;x", "--b=;y\nc=2;", "A=1", "", None, "q\x01a=1;", "a\x01=1;", "é𝄞=1; b=22;x", "a=1;x\n"]),
+        (r"^(\S+) (.+?)(?: (\d+))?((?s).*)$", 4, ["a b 12 c", "a b\nc", "a b \n", " a b", "a \x01 3", "$1 \\\\ 4", None]),
+        (r"(a)(b)(c)(d)(e)(f)(g)(h)(i)(j)(k?)", 11, ["abcdefghij0", "xabcdefghijk"]),
+    ]
+    for pattern, n, texts in cases:
+        df = spark.createDataFrame([(t,) for t in texts], "s string")
+        names = [f"g{i}" for i in range(1, n + 1)]
+        for empty in ((), ("-", "")):
+            one_match = formats._parts(F.col("s"), pattern, " ".join(names), empty)
+            plain = {k: F.when(F.col("s").rlike(pattern), F.regexp_extract("s", pattern, i)) for i, k in enumerate(names, 1)}
+            got = df.select(*[c.alias(k) for k, c in one_match.items()]).collect()
+            want = [tuple(None if v in empty else v for v in r) for r in df.select(*[c.alias(k) for k, c in plain.items()]).collect()]
+            assert [tuple(r) for r in got] == want
+
+
+def test_equal_keys_and_escapes(spark):
+    good = one(spark, "cef", "x CEF:0|V|P|1|2|n|3|a=1 2 b=x\\=y a=9 c= d.e[0]=z\n", )[0]
+    assert [good[k] for k in ("a", "b", "c", "`d.e[0]`".strip("`"))] == ["1 2", "x=y", "", "z"]
+    assert one(spark, "leef", "LEEF:2.0|V|P|1|42|^|a=1^b=x=y^a=2")[0].asDict().items() >= {"a": "1", "b": "x=y"}.items()
+    assert one(spark, "logfmt", "a=1 b=2 a=3")[0].asDict().items() >= {"a": "1", "b": "2"}.items()
+
+
+@pytest.mark.parametrize("fmt,columns", [("haproxy", 20), ("cef", 7)])
+def test_a_format_is_matched_once(spark, fmt, columns):
+    """One match for all groups: the plan has the head's pattern in one expression for each column, never an extraction of one group."""
+    df = spark.range(1).selectExpr("string(id) as line")
+    cols = formats.PARSERS[fmt](df, F.col("line"), ["src"], {})
+    assert len(cols) >= columns
+    plan = df.select(*[c.alias(n) for n, c in cols.items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(line" in plan and not __import__("re").search(r"regexp_extract\(line#\d+, [^,]*, \d+\)", plan)
